@@ -92,10 +92,22 @@ def horizon_bin(h: Column, edges: tuple[int, ...] = (4, 12, 26)) -> Column:
     return out.when(h > edges[-1], F.lit(f">{edges[-1]}w"))
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def array_sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
 def softmax_array(a: Column) -> Column:
     """Softmax over the elements of an array column, shifted by its maximum."""
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    def scale(e: Column) -> Column:
+        return bind(array_sum(e), lambda total: F.transform(e, lambda x: x / total))
+
+    return bind(F.array_max(a), lambda top: bind(
+        F.transform(a, lambda x: F.exp(x - top)), scale))
 
 
 def dot(a: Column, b: Column) -> Column:
