@@ -248,9 +248,7 @@ WHERE votes > 0 GROUP BY 1)
 SELECT pattern, n_parties, count(*) AS n_polls FROM p GROUP BY 1, 2""")
 def party_presence(spark: SparkSession, sf: str) -> DataFrame:
     """How many polls show each set of parties."""
-    pat = reshape.reporting_pattern(
-        votes(spark, sf).where("votes > 0"), "l_orderkey", "party", PARTY_IDX)
-    return pat.groupBy("pattern", F.size("party_idx").cast("bigint").alias("n_parties")).agg(
+    return _patterns(spark, sf).groupBy("pattern", F.size("party_idx").cast("bigint").alias("n_parties")).agg(
         F.count(F.lit(1)).alias("n_polls"))
 
 
@@ -369,8 +367,8 @@ def impute_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _patterns(spark: SparkSession, sf: str) -> DataFrame:
-    return reshape.reporting_pattern(
-        votes(spark, sf).where("votes > 0"), "l_orderkey", "party", PARTY_IDX)
+    lines = line_parties(spark, sf, "l_orderkey", "l_quantity").where("l_quantity > 0")
+    return reshape.reporting_pattern(lines, "l_orderkey", "party", PARTY_IDX)
 
 
 _SQL_PAT = f"""{CTE_VOTES}, pat AS (SELECT l_orderkey,

@@ -85,20 +85,18 @@ def reporting_pattern(df: DataFrame, poll: str, party: str, order: dict[str, int
                       sep: str = " | ") -> DataFrame:
     """Per poll the parties it reports: label, index array, one 0/1 flag per party.
 
-    A poll holds at most one entry per party, so the arrays are bounded by the party list.
+    The flags are map-side maxima over a fixed party list, so rows need not be unique per party
+    and a poll of any size sends one row per task.
     """
-    def _has(p: str) -> Column:
-        return F.exists("e", lambda e: e["p"] == p).cast("int")
-
-    idx = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col(party))
-    per_poll = df.groupBy(poll).agg(
-        F.array_sort(F.collect_set(F.struct(idx.alias("i"), F.col(party).alias("p")))).alias("e"))
-    return per_poll.select(
-        poll,
-        F.array_join(F.transform("e", lambda e: e["p"]), sep).alias("pattern"),
-        F.transform("e", lambda e: e["i"]).alias("party_idx"),
-        *[_has(p).alias(f"has_{p}") for p in order],
-    )
+    names = sorted(order, key=order.get)
+    flags = df.groupBy(poll).agg(*[
+        F.max((F.col(party) == p).cast("int")).alias(f"has_{p}") for p in names])
+    has = {p: F.col(f"has_{p}") == 1 for p in names}
+    return flags.select(
+        poll, F.concat_ws(sep, *[F.when(has[p], F.lit(p)) for p in names]).alias("pattern"),
+        F.array_compact(F.array(*[F.when(has[p], F.lit(order[p])) for p in names]))
+        .alias("party_idx"),
+        *[f"has_{p}" for p in names])
 
 
 def nest_by_key(df: DataFrame, ids: list[str], key: str, fields: list[str],
