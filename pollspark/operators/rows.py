@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pollspark import dims
 
@@ -15,8 +16,11 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     row per task; a row_number window would move them all to one.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
+    maps = [c for c in rest if isinstance(df.schema[c].dataType, T.MapType)]
     ranked = [f for c in order for f in (F.isnull(c).alias(f"__n_{c}"), F.col(c).alias(c))]
-    first = F.min(F.struct(*ranked, *[F.col(c) for c in rest])).alias("__first")
+    rank = F.struct(*ranked, *[F.col(c) for c in rest if c not in maps])
+    # Maps have no order; with maps around, the whole row is carried beside its rank.
+    first = (F.min_by(F.struct(*order, *rest), rank) if maps else F.min(rank)).alias("__first")
     return df.groupBy(*keys).agg(first).select(
         *[F.col(c) if c in keys else F.col(f"__first.{c}").alias(c) for c in df.columns])
 
