@@ -36,7 +36,7 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("text", 256).alias("uuid"), "doc_id", F.col("source").alias("pollster"))
     out = _workdir(spark)
     ingest.run(docs, out, "uuid", ["doc_id"])
-    return ingest.read(spark, out).select("uuid", "doc_id", "pollster")
+    return ingest.read(spark, out, docs.schema)
 
 
 @query("""SELECT strftime(DATE '2024-01-01' + CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7.0) AS INTEGER) * 7,

@@ -9,7 +9,7 @@ from pollspark import dims
 
 
 def blank_to_null(text: Column) -> Column:
-    t = F.trim(text)
+    t = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     return F.when(~t.isin("", "–"), t)
 
 
@@ -25,12 +25,12 @@ def header_name(text: Column) -> Column:
 
 
 # Fixed value: shape of a percentage in a table cell.
-PERCENT_PATTERN = r"\d+(?:,\d+)?\s*%"
+PERCENT_PATTERN = r"(?U)\d+(?:,\d+)?\s*%"
 
 
 def percent_value(text: Column) -> Column:
-    t = F.trim(F.replace(F.regexp_replace(text, r"\s*%", ""), F.lit(","), F.lit(".")))
-    return t.try_cast("double")
+    bare = F.regexp_replace(text, r"(?U)\s*%|^\s+|\s+$", "")
+    return F.replace(bare, F.lit(","), F.lit(".")).try_cast("double")
 
 
 def mode_code(text: Column) -> Column:

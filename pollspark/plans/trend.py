@@ -33,7 +33,7 @@ def trend_table(draws: DataFrame, parties: list[str], n_rows: int,
 
 def daily_shares(trend: DataFrame, cal: DataFrame, idx: str = "layer1_aggregate_idx") -> DataFrame:
     """Every calendar day with its period's summary; days without one keep nulls."""
-    return trend.join(cal.select("date", F.col(idx).alias("t")), "t", "right")
+    return trend.drop("date").join(cal.select("date", F.col(idx).alias("t")), "t", "right")
 
 
 def spline_path(basis: DataFrame, beta: DataFrame) -> DataFrame:

@@ -22,6 +22,13 @@ RAW_LONG = _struct(
     ("party", _S), ("vote_share", _D),
 )
 
+# Scraped rows before the split by party: one row per poll and page.
+RAW_WIDE = _struct(
+    ("pollster", _S), ("url", _S), ("row_no", _I), ("publishing_date", _DT), ("Befragte", _S),
+    ("Zeitraum", _S), ("shares", T.MapType(_S, _D)), ("mode", _S), ("survey_count", _I),
+    ("sampling_start_day", _DT), ("sampling_end_day", _DT), ("uuid", _S),
+)
+
 POLLS = _struct(
     ("poll_id", _S), ("pollster", _S), ("date_published", _DT), ("date_start", _DT),
     ("date_end", _DT), ("n", _I), ("method", _S), ("befragte_raw", _S), ("zeitraum_raw", _S),
