@@ -85,12 +85,33 @@ def elections(spark: SparkSession) -> DataFrame:
         F.to_date("d").alias("election_date"))
 
 
+def cells(spark: SparkSession, sf: str, *by: Column) -> DataFrame:
+    """Votes per cell of order columns, one column per party (null where a party has no line).
+
+    Lines are summed per order first, on the map side. That aggregate and the join with the
+    orders share one shuffle on the order key, and only wide rows go through it.
+    """
+    lines = line_parties(spark, sf, "l_orderkey", "l_quantity")
+    wide = lines.groupBy("l_orderkey").agg(*[
+        F.sum(F.when(F.col("party") == p, F.col("l_quantity"))).alias(p) for p in PARTIES])
+    o = table(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    joined = wide.join(o.select("o_orderkey", *by), wide.l_orderkey == o.o_orderkey)
+    names = [c for c in joined.columns if c not in ("l_orderkey", "o_orderkey", *PARTIES)]
+    return joined.groupBy(*names).agg(*[F.sum(p).alias(p) for p in PARTIES])
+
+
+def long_cells(wide: DataFrame) -> DataFrame:
+    by = [c for c in wide.columns if c not in PARTIES]
+    return wide.unpivot(by, PARTIES, "party", "y").where(F.col("y").isNotNull())
+
+
+def period() -> Column:
+    return grid_index(F.col("day"), ORIGIN).alias("t")
+
+
 def period_votes(spark: SparkSession, sf: str) -> DataFrame:
-    """Votes per 14-day period and party; quantities are counted per order before the joins."""
-    v = votes(spark, sf)
-    o = orders(spark, sf).select("o_orderkey", grid_index(F.col("day"), ORIGIN).alias("t"))
-    return v.join(o, v.l_orderkey == o.o_orderkey).groupBy("t", "party").agg(
-        F.sum("votes").alias("y"))
+    """Votes per 14-day period and party: a calendar-sized table."""
+    return long_cells(cells(spark, sf, period()))
 
 
 def draws(spark: SparkSession, sf: str, *extra: str) -> DataFrame:

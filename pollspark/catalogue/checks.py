@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pollspark.catalogue.base import (
@@ -17,9 +17,9 @@ _SQL_BIN = """CASE WHEN h <= 0 THEN 'fit' WHEN h <= 4 THEN '1-4w' WHEN h <= 12 T
  WHEN h <= 26 THEN '13-26w' ELSE '>26w' END"""
 
 
-def _cell_quantiles(spark: SparkSession, sf: str, d: DataFrame) -> DataFrame:
+def _cell_quantiles(spark: SparkSession, sf: str, d: DataFrame, **extra: Column) -> DataFrame:
     return quantiles.exact_quantiles(
-        d, ["t", "party"], "value", _Q4, _Q4N, size_of(spark, sf, "lineitem"))
+        d, ["t", "party"], "value", _Q4, _Q4N, size_of(spark, sf, "lineitem"), extra=extra)
 
 
 @query(f"""WITH {CTE_DRAWS}, q AS (SELECT t, party, {_SQL_Q4} FROM draws GROUP BY 1, 2),
@@ -31,10 +31,11 @@ SELECT coalesce(party, 'all') AS party, round(avg(c90), 6) AS coverage_90,
 round(avg(c50), 6) AS coverage_50, round(avg(e), 6) AS mae, count(*) AS n FROM c GROUP BY ROLLUP (party)""")
 def coverage_mae(spark: SparkSession, sf: str) -> DataFrame:
     """Interval coverage and mean error against the next period, by party and overall at once."""
-    d = draws(spark, sf)
-    actual = d.groupBy("t", "party").agg(F.avg("value").alias("actual")).withColumn(
-        "t", F.col("t") - 1)
-    c = _cell_quantiles(spark, sf, d).join(actual, ["t", "party"]).select(
+    by_party = Window.partitionBy("party").orderBy("t")  # calendar-sized cells
+    cell = _cell_quantiles(spark, sf, draws(spark, sf), mean=F.avg("value")).withColumn(
+        "actual", F.when(F.lead("t").over(by_party) == F.col("t") + 1,
+                         F.lead("mean").over(by_party)))
+    c = cell.where(F.col("actual").isNotNull()).select(
         "party", F.col("actual").between(F.col("q05"), F.col("q95")).cast("int").alias("c90"),
         F.col("actual").between(F.col("q25"), F.col("q75")).cast("int").alias("c50"),
         F.abs(F.col("actual") - F.col("median")).alias("e"))
@@ -49,11 +50,10 @@ FROM draws GROUP BY 1, 2) SELECT party, round(avg(r), 6) AS mean_residual,
 round(stddev_samp(r), 6) AS sd_residual, round(sqrt(avg(r * r)), 6) AS rmse FROM q GROUP BY 1""")
 def residual_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Observed mean less fitted median, summarised per party."""
-    d = draws(spark, sf)
-    obs = d.groupBy("t", "party").agg(F.avg("value").alias("observed"))
-    fit = quantiles.exact_quantiles(d, ["t", "party"], "value", [0.5], ["median"],
-                                    size_of(spark, sf, "lineitem"))
-    r = obs.join(fit, ["t", "party"]).withColumn("r", F.col("observed") - F.col("median"))
+    cell = quantiles.exact_quantiles(
+        draws(spark, sf), ["t", "party"], "value", [0.5], ["median"],
+        size_of(spark, sf, "lineitem"), extra={"observed": F.avg("value")})
+    r = cell.withColumn("r", F.col("observed") - F.col("median"))
     return r.groupBy("party").agg(
         r6(F.avg("r")).alias("mean_residual"), r6(F.stddev_samp("r")).alias("sd_residual"),
         r6(F.sqrt(F.avg(F.col("r") * F.col("r")))).alias("rmse"))
@@ -66,10 +66,13 @@ FROM q JOIN o USING (t, party) GROUP BY 1""")
 def calibration(spark: SparkSession, sf: str) -> DataFrame:
     """Share of observations inside the simulated 90 % interval, in two levels."""
     d = draws(spark, sf, "l_returnflag")
-    obs = d.where("l_returnflag = 'R'").groupBy("t", "party").agg(F.avg("value").alias("observed"))
-    sim = _cell_quantiles(spark, sf, d.where("l_returnflag <> 'R'"))
+    is_obs = F.col("l_returnflag") == "R"
+    d = d.select("t", "party", F.when(~is_obs, F.col("value")).alias("value"),
+                 F.when(is_obs, F.col("value")).alias("seen"))
+    sim = _cell_quantiles(spark, sf, d, observed=F.avg("seen")).where(
+        (F.col("n") > 0) & F.col("observed").isNotNull())
     inside = F.col("observed").between(F.col("q05"), F.col("q95")).cast("int")
-    return sim.join(obs, ["t", "party"]).groupBy("party").agg(
+    return sim.groupBy("party").agg(
         r6(F.avg(inside)).alias("coverage_90"), F.count(F.lit(1)).alias("n"))
 
 
@@ -122,11 +125,11 @@ x AS (SELECT t, t - {CUTOFF_T} AS h, party, y, p, sum(y) OVER (PARTITION BY t) A
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     """Counts per period with the shares predicted from the fit window."""
-    y = period_votes(spark, sf)
-    fit = y.where(F.col("t") <= CUTOFF_T).groupBy("party").agg(F.sum("y").alias("fy"))
-    total = fit.agg(F.sum("fy").alias("ty"))
-    pred = fit.crossJoin(total).select("party", (F.col("fy") / F.col("ty")).alias("p"))
-    return y.join(pred, "party").withColumn("n", F.sum("y").over(Window.partitionBy("t")))
+    fit = F.when(F.col("t") <= CUTOFF_T, F.col("y"))
+    party, whole = Window.partitionBy("party"), Window.partitionBy()  # calendar-sized cells
+    return period_votes(spark, sf).withColumns({
+        "p": F.sum(fit).over(party) / F.sum(fit).over(whole),
+        "n": F.sum("y").over(Window.partitionBy("t"))})
 
 
 @query(f"""WITH {_SQL_PRED}, s AS (SELECT t, h, lgamma(max(n) + 1) - sum(lgamma(y + 1)) + sum(y * ln(p)) AS multi,

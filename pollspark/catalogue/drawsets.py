@@ -170,7 +170,21 @@ def basis_table(spark: SparkSession, periods: int, n_basis: int) -> DataFrame:
         N.bspline_basis(F.col("t"), knots, 1.0, float(periods))).alias("k", "b")).where("b <> 0")
 
 
-@query()
+def _sql_order(d: int) -> str:
+    """Raise a basis by one order: neighbours blended by their distance to the knots."""
+    return f"""n{d} AS (SELECT n.t, n.i, coalesce((n.t - a.g) / nullif(b.g - a.g, 0), 0) * v
+ + coalesce((d.g - n.t) / nullif(d.g - c.g, 0), 0) * coalesce(lead(v) OVER (PARTITION BY n.t ORDER BY n.i), 0) AS v
+ FROM n{d - 1} n JOIN k a ON a.i = n.i JOIN k b ON b.i = n.i + {d} JOIN k c ON c.i = n.i + 1 JOIN k d ON d.i = n.i + {d + 1})"""
+
+
+@query(f"""WITH k AS (SELECT i, CASE WHEN i < 4 THEN 1.0::DOUBLE WHEN i >= 64 THEN 180.0::DOUBLE
+ ELSE 1 + 179 * (i - 3)::DOUBLE / 61 END AS g FROM range(68) r(i)),
+p AS (SELECT t FROM range(1, 181) r(t)),
+n0 AS (SELECT t, a.i, CASE WHEN (t >= a.g AND t < b.g) OR (t = 180 AND a.i = 63) THEN 1.0 ELSE 0.0 END::DOUBLE AS v
+ FROM p, k a JOIN k b ON b.i = a.i + 1), {_sql_order(1)}, {_sql_order(2)}, {_sql_order(3)},
+beta AS (SELECT label, k, avg(v) AS beta FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v,
+ unnest(range(len(embedding))) AS k FROM embeddings) GROUP BY 1, 2)
+SELECT label, CAST(t AS INTEGER) AS t, round(sum(v * beta), 6) AS alpha FROM n3 JOIN beta ON n3.i = beta.k GROUP BY 1, 2""")
 def basis_product(spark: SparkSession, sf: str) -> DataFrame:
     """Spline paths: basis times coefficients, summed over the basis.
 
@@ -203,9 +217,8 @@ def pair_products(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "embeddings").select(rows_.alias("L")).select(
         F.explode(cells).alias("c")).select("c.i", "c.j", "c.v")
     n = size_of(spark, sf, "embeddings") * 64
-    med = quantiles.exact_quantiles(o, ["i", "j"], "v", [0.5], ["median"], n)
-    mean = o.groupBy("i", "j").agg(F.avg("v").alias("mean"))
-    return med.join(mean, ["i", "j"]).select(
+    return quantiles.exact_quantiles(o, ["i", "j"], "v", [0.5], ["median"], n,
+                                     extra={"mean": F.avg("v")}).select(
         "i", "j", r6(F.col("median")).alias("median"), r6(F.col("mean")).alias("mean"))
 
 
@@ -231,10 +244,10 @@ round(sd, 6) AS sd, round(mean - 0.5, 6) AS bias FROM s JOIN a USING (party)""")
 def group_mad(spark: SparkSession, sf: str) -> DataFrame:
     """Median, scaled MAD, mean, spread and distance from a true value per party."""
     d = draws(spark, sf, "l_orderkey", "l_linenumber")
-    robust = quantiles.median_and_mad(d, ["party"], "value", ["l_orderkey", "l_linenumber"],
-                                      size_of(spark, sf, "lineitem"))
-    s = d.groupBy("party").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    return robust.join(s, "party").select(
+    robust = quantiles.median_and_mad(
+        d, ["party"], "value", ["l_orderkey", "l_linenumber"], size_of(spark, sf, "lineitem"),
+        extra={"mean": F.avg("value"), "sd": F.stddev_samp("value")})
+    return robust.select(
         "party", "n", *[r6(F.col(c)).alias(c) for c in ("median", "mad", "mean", "sd")],
         r6(F.col("mean") - 0.5).alias("bias"))
 
@@ -247,10 +260,9 @@ def variable_means(spark: SparkSession, sf: str) -> DataFrame:
     """Mean and interval per index of an array variable."""
     m = melted(spark, sf).select("k", F.col("value").cast("double").alias("v"))
     n = size_of(spark, sf, "embeddings") * 64
-    q = quantiles.exact_quantiles(m, ["k"], "v", [0.05, 0.95], ["q05", "q95"], n)
-    s = m.groupBy("k").agg(F.avg("v").alias("mean"),
-                           F.sqrt(F.avg(F.col("v") * F.col("v"))).alias("rms"))
-    return q.join(s, "k").select("k", "n", *[r6(F.col(c)).alias(c)
+    q = quantiles.exact_quantiles(m, ["k"], "v", [0.05, 0.95], ["q05", "q95"], n, extra={
+        "mean": F.avg("v"), "rms": F.sqrt(F.avg(F.col("v") * F.col("v")))})
+    return q.select("k", "n", *[r6(F.col(c)).alias(c)
                                              for c in ("mean", "q05", "q95", "rms")])
 
 

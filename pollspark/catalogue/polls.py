@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from pollspark.catalogue.base import (
     AS_OF, CTE_PERIOD, CTE_SHARE, CTE_VOTES, LAST_DAY, ORIGIN, PARTIES, PARTY_IDX, SQL_ELECTIONS,
-    SQL_PARTY, SQL_PARTY_IDX, elections, line_parties, orders, party_of, period_votes, query, r6,
-    size_of, sql_t, table, votes,
+    SQL_PARTY, SQL_PARTY_IDX, cells, elections, line_parties, long_cells, orders, party_dim,
+    party_of, period, period_votes, query, r6, size_of, sql_t, table,
 )
 from pollspark.functions import hashing
 from pollspark.functions.dates import day_series, grid_index, iso, month_floor
 from pollspark.functions.numeric import residual_share, row_sum
 from pollspark.operators import joins, ordered, quantiles, reshape, rows
+from pollspark.plans import checks
 
 MAJORS = ["economy", "large", "medium", "small"]
 
@@ -179,16 +180,14 @@ def source_registry(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderpriority").alias("pollster"), "day",
         F.when(F.col("o_orderstatus") != "P", F.floor(F.col("o_totalprice") / 100))
         .cast("double").alias("n"))
-    stats = o.groupBy("pollster").agg(
-        F.count(F.lit(1)).alias("n_polls"), F.min("day").alias("first_poll"),
-        F.max("day").alias("last_poll"),
-        (F.avg(F.col("n").isNotNull().cast("int")) * 100).alias("pct_n_known"))
-    med = quantiles.exact_quantiles(
-        o, ["pollster"], "n", [0.5], ["median_n"], size_of(spark, sf, "orders"))
+    stats = quantiles.exact_quantiles(
+        o, ["pollster"], "n", [0.5], ["median_n"], size_of(spark, sf, "orders"), extra={
+            "n_polls": F.count(F.lit(1)), "first_poll": F.min("day"), "last_poll": F.max("day"),
+            "pct_n_known": F.avg(F.col("n").isNotNull().cast("int")) * 100})
     meta = spark.createDataFrame(
         _META, "pollster string, full_name string, primary_method string")
     return (
-        stats.join(med.drop("n"), "pollster", "left").join(meta, "pollster", "left")
+        stats.join(meta, "pollster", "left")
         .select("pollster", "full_name", "primary_method",
                 (F.col("last_poll") >= F.date_sub(F.lit(AS_OF).cast("date"), 730)).alias("active"),
                 "n_polls", iso("first_poll").alias("first_poll"), iso("last_poll").alias("last_poll"),
@@ -258,7 +257,8 @@ SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority FRO
 WHERE o_orderkey IN (SELECT l_orderkey FROM ok)""")
 def viable_polls(spark: SparkSession, sf: str) -> DataFrame:
     """Polls that report every major party."""
-    ids = rows.viable_ids(votes(spark, sf), "l_orderkey", "party", "votes", MAJORS)
+    lines = line_parties(spark, sf, "l_orderkey", "l_quantity")
+    ids = rows.viable_ids(lines, "l_orderkey", "party", "l_quantity", MAJORS)
     o = orders(spark, sf, "o_orderpriority")
     return o.join(ids, o.o_orderkey == ids.l_orderkey, "left_semi").select(
         "o_orderkey", iso("day").alias("day"), "o_orderpriority")
@@ -463,14 +463,13 @@ SELECT t, position, (SELECT sum(y) FROM period WHERE period.t = p.t) AS y,
 t IN (SELECT t FROM e) AS is_election FROM p""")
 def key_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Observed and election periods in one sorted key list, with lookups into it."""
-    y = period_votes(spark, sf).groupBy("t").agg(F.sum("y").alias("y"))
+    y = cells(spark, sf, period()).select("t", row_sum(PARTIES).alias("y"))
     e = elections(spark).select(
-        grid_index(F.col("election_date"), ORIGIN).alias("t")).distinct().withColumn(
-        "is_election", F.lit(True))
-    pos = joins.sorted_positions(y.select("t").union(e.select("t")), "t")
-    return pos.join(y, "t", "left").join(e, "t", "left").select(
-        "t", F.col("position").cast("bigint").alias("position"), "y",
-        F.coalesce("is_election", F.lit(False)).alias("is_election"))
+        grid_index(F.col("election_date"), ORIGIN).alias("t"), F.lit(True).alias("is_election"))
+    keys = y.unionByName(e, allowMissingColumns=True).groupBy("t").agg(
+        F.sum("y").alias("y"), F.coalesce(F.max("is_election"), F.lit(False)).alias("is_election"))
+    w = Window.orderBy("t")  # one row per period
+    return keys.withColumn("position", F.row_number().over(w).cast("bigint"))
 
 
 @query(f"""WITH {CTE_SHARE}, y AS (SELECT year(o_orderdate) AS y, o_orderkey FROM orders),
@@ -486,11 +485,8 @@ round(1 - (economy + large + CASE WHEN election_year >= 1998 THEN medium ELSE 0
  AS residual FROM w""")
 def election_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Votes per year, two parties merged, one absent before its founding, the rest as residual."""
-    v = votes(spark, sf)
-    o = orders(spark, sf).select("o_orderkey", F.year("day").alias("election_year"))
-    wide = v.join(o, v.l_orderkey == o.o_orderkey).groupBy("election_year").agg(
-        F.sum("votes").alias("valid"),
-        *[F.sum(F.when(F.col("party") == p, F.col("votes"))).alias(p) for p in PARTIES])
+    wide = cells(spark, sf, F.year("day").alias("election_year")).withColumn(
+        "valid", row_sum(PARTIES))
     shares = wide.select(
         "election_year", F.col("valid").cast("bigint").alias("valid_votes"),
         ((F.col("economy") + F.col("large")) / F.col("valid")).alias("u"),
@@ -515,14 +511,16 @@ SELECT strftime(election_date, '%Y-%m-%d') AS election_date, party,
 round(q / sum(q) OVER (PARTITION BY election_date), 6) AS e_vote FROM e""")
 def election_vector(spark: SparkSession, sf: str) -> DataFrame:
     """Election × party grid, zeros lifted to a small share, rows scaled to 1."""
-    parties = spark.createDataFrame([(p,) for p in PARTIES], "party string")
-    grid = elections(spark).crossJoin(parties)  # two fixed lists
-    v = votes(spark, sf)
+    grid = elections(spark).select(
+        "election_date", F.explode(F.array(*[F.lit(p) for p in PARTIES])).alias("party"))
     o = orders(spark, sf).join(elections(spark), F.col("day") == F.col("election_date"),
                                "left_semi")
-    day = v.join(o, v.l_orderkey == o.o_orderkey).where(
+    # The orders of a few days come first, so that only their lines meet the parts.
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(
+        o, F.col("l_orderkey") == F.col("o_orderkey"))
+    day = lines.join(party_dim(spark, sf), F.col("l_partkey") == F.col("p_partkey")).where(
         (F.col("party") != "small") | (F.col("day") >= "1998-01-01")).groupBy(
-        F.col("day").alias("election_date"), "party").agg(F.sum("votes").alias("y"))
+        F.col("day").alias("election_date"), "party").agg(F.sum("l_quantity").alias("y"))
     w = Window.partitionBy("election_date")
     x = grid.join(day, ["election_date", "party"], "left").fillna(0.0, ["y"])
     share = x.withColumn("p", F.coalesce(
@@ -535,7 +533,7 @@ def election_vector(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {CTE_VOTES}, o AS (SELECT o_orderkey, {sql_t('o_orderdate')} AS t, o_orderpriority
  AS source FROM orders), x AS (SELECT t, source, sum(CASE WHEN party = 'economy' THEN votes END) /
  sum(votes) AS r, sum(votes) AS n FROM votes JOIN o ON l_orderkey = o_orderkey GROUP BY 1, 2),
-m AS (SELECT t, sum(r * n) / sum(n) AS mean_r FROM x GROUP BY 1),
+m AS (SELECT t, sum(coalesce(r, 0) * n) / sum(n) AS mean_r FROM x GROUP BY 1),
 h AS (SELECT source, avg(coalesce(r, 0) - mean_r) AS h, count(*) AS n_units FROM x JOIN m USING (t)
  GROUP BY 1),
 u AS (SELECT t, count(*) AS s FROM x GROUP BY 1),
@@ -545,21 +543,11 @@ SELECT source, round(h - (SELECT avg(h) FROM h), 6) AS house_effect, n_units, n_
 FROM h JOIN sh USING (source)""")
 def house_effect(spark: SparkSession, sf: str) -> DataFrame:
     """Mean deviation of every source from the period mean, centred, with its overlap."""
-    v = votes(spark, sf)
-    o = orders(spark, sf, "o_orderpriority").select(
-        "o_orderkey", grid_index(F.col("day"), ORIGIN).alias("t"),
-        F.col("o_orderpriority").alias("source"))
-    x = v.join(o, v.l_orderkey == o.o_orderkey).groupBy("t", "source").agg(
-        F.sum(F.when(F.col("party") == "economy", F.col("votes"))).alias("hit"),
-        F.sum("votes").alias("n")).withColumn("r", F.col("hit") / F.col("n"))
-    mean = x.groupBy("t").agg((F.sum(F.col("r") * F.col("n")) / F.sum(
-        F.col("n"))).alias("mean_r"))
-    dev = x.join(mean, "t").groupBy("source").agg(
-        F.avg(F.coalesce("r", F.lit(0.0)) - F.col("mean_r")).alias("h"))
-    centre = dev.agg(F.avg("h").alias("c"))
-    overlap = joins.shared_units(x, "source", "t")
-    return dev.crossJoin(centre).join(overlap, "source").select(
-        "source", r6(F.col("h") - F.col("c")).alias("house_effect"), "n_units", "n_shared_units")
+    x = cells(spark, sf, period(), F.col("o_orderpriority").alias("source"))
+    x = x.withColumn("n", row_sum(PARTIES)).withColumn(
+        "r", F.coalesce("economy", F.lit(0.0)) / F.col("n"))
+    return checks.house_effects(x, "source", "t", "r", "n").withColumn(
+        "house_effect", r6(F.col("house_effect")))
 
 
 @query(f"""WITH {CTE_VOTES}, f(grp, party, reported) AS (VALUES ('1-URGENT', 'small', 0),
@@ -573,11 +561,6 @@ def residual_redirect(spark: SparkSession, sf: str) -> DataFrame:
     flags = spark.createDataFrame(
         [("1-URGENT", "small", 0), ("2-HIGH", "small", 0), ("2-HIGH", "medium", 0),
          ("3-MEDIUM", "small", 1)], "grp string, party string, reported int")
-    v = votes(spark, sf)
-    o = orders(spark, sf, "o_orderpriority").select(
-        "o_orderkey", grid_index(F.col("day"), ORIGIN).alias("t"),
-        F.col("o_orderpriority").alias("grp"))
-    x = v.join(o, v.l_orderkey == o.o_orderkey).groupBy("grp", "t", "party").agg(
-        F.sum("votes").alias("y"))
+    x = long_cells(cells(spark, sf, period(), F.col("o_orderpriority").alias("grp")))
     return joins.redirect_residual(x, flags, ["grp"], "party", "y", "other", ["grp", "t"]).select(
         "grp", "t", "party", F.col("y").cast("bigint").alias("y"))

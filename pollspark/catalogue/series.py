@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pollspark.catalogue.base import CTE_SHARE, period_votes, query, r6, size_of, table
+from pollspark.catalogue.base import (
+    CTE_SHARE, PARTIES, cells, period, period_votes, query, r6, size_of, table,
+)
 from pollspark.functions import numeric as N
 from pollspark.operators import ordered
 
@@ -108,10 +110,10 @@ def fit_quality(spark: SparkSession, sf: str) -> DataFrame:
     """R², largest error, correlation and share of large moves against a trailing mean."""
     f = shares(spark, sf).withColumns({
         "f": F.avg("s").over(by_party().rowsBetween(-3, -1)),
-        "d": F.col("s") - F.lag("s").over(by_party())}).where("f is not null")
-    mean = f.groupBy("party").agg(F.avg("s").alias("mean_s"))
+        "d": F.col("s") - F.lag("s").over(by_party())}).where("f is not null").withColumn(
+        "mean_s", F.avg("s").over(Window.partitionBy("party")))
     err, dev = F.col("s") - F.col("f"), F.col("s") - F.col("mean_s")
-    return f.join(mean, "party").groupBy("party").agg(
+    return f.groupBy("party").agg(
         r6(1 - F.sum(err * err) / F.sum(dev * dev)).alias("r2"),
         r6(F.max(F.abs(err))).alias("max_abs_error"),
         r6(F.avg(F.when(F.abs("d") > 0.01, 1.0).otherwise(0.0))).alias("change_prob"),
@@ -123,12 +125,11 @@ GROUP BY 1) SELECT t, party, round((s - p) / sqrt(p * (1 - p)), 6) AS std_residu
 round(ln(p / (SELECT p FROM m WHERE party = 'other')), 6) AS log_ratio FROM share JOIN m USING (party)""")
 def standardised_residual(spark: SparkSession, sf: str) -> DataFrame:
     """Distance of each share from the party's overall share, and its log ratio to the residual."""
-    s = shares(spark, sf)
-    p = s.groupBy("party").agg(F.sum("y").alias("py"))
-    total = s.agg(F.sum("y").alias("ty"),
-                  F.sum(F.when(F.col("party") == "other", F.col("y"))).alias("oy"))
-    x = s.join(p, "party").crossJoin(total).withColumns({
-        "p": F.col("py") / F.col("ty"), "po": F.col("oy") / F.col("ty")})
+    party, whole = Window.partitionBy("party"), Window.partitionBy()  # calendar-sized cells
+    total = F.sum("y").over(whole)
+    x = shares(spark, sf).withColumns({
+        "p": F.sum("y").over(party) / total,
+        "po": F.sum(F.when(F.col("party") == "other", F.col("y"))).over(whole) / total})
     return x.select(
         "t", "party", r6(N.standardised_residual(F.col("s"), F.col("p"))).alias("std_residual"),
         r6(N.log_ratio(F.col("p"), F.col("po"))).alias("log_ratio"))
@@ -143,20 +144,22 @@ round(sqrt((r.p * r.p * r.sigma * r.sigma + j.p * j.p * j.sigma * j.sigma) / ((r
 FROM c, v r, v j WHERE r.party = 'other' AND j.party = 'small' AND c.party NOT IN ('other', 'small')""")
 def party_dropout(spark: SparkSession, sf: str) -> DataFrame:
     """Correlation, spread and share of the residual after it absorbs another party."""
-    s = shares(spark, sf).select("t", "party", "s")
-    stat = s.groupBy("party").agg(F.avg("s").alias("p"), F.stddev_samp("s").alias("sigma"))
-    one = lambda p, tag: stat.where(F.col("party") == p).select(
-        F.col("p").alias(f"p_{tag}"), F.col("sigma").alias(f"g_{tag}"))
-    side = s.groupBy("t").agg(
-        F.max(F.when(F.col("party") == "other", F.col("s"))).alias("s_r"),
-        F.max(F.when(F.col("party") == "small", F.col("s"))).alias("s_j")).dropna()
-    rho = s.where(~F.col("party").isin("other", "small")).join(side, "t").groupBy("party").agg(
-        F.corr("s", "s_r").alias("rho_r"), F.corr("s", "s_j").alias("rho_j"))
-    x = rho.crossJoin(one("other", "r")).crossJoin(one("small", "j"))  # one-row sides
-    pr, pj = F.col("p_r"), F.col("p_j")
-    both = pr + pj
-    spread = F.sqrt((pr * pr * F.col("g_r") * F.col("g_r") + pj * pj * F.col("g_j") * F.col("g_j"))
-                    / (both * both))
-    return x.select(
-        "party", r6((F.col("rho_r") * pr + F.col("rho_j") * pj) / both).alias("rho_new"),
-        r6(spread).alias("sigma_new"), r6(both).alias("p_new"))
+    # One row per period with the shares of all parties; one aggregate gives every moment.
+    y = cells(spark, sf, period())
+    total = N.row_sum(PARTIES)
+    s = y.select(*[(F.col(p) / total).alias(p) for p in PARTIES])
+    both = F.col("other").isNotNull() & F.col("small").isNotNull()
+    rest = [p for p in PARTIES if p not in ("other", "small")]
+    m = s.agg(
+        *[f("other" if k == "r" else "small").alias(f"{n}_{k}") for k in "rj"
+          for n, f in (("p", F.avg), ("g", F.stddev_samp))],
+        *[F.corr(F.when(both, F.col(p)), F.col("other" if k == "r" else "small")).alias(f"{k}_{p}")
+          for k in "rj" for p in rest])
+    pr, pj, gr, gj = (F.col(c) for c in ("p_r", "p_j", "g_r", "g_j"))
+    each = F.explode(F.array(*[F.struct(
+        F.lit(p).alias("party"),
+        ((F.col(f"r_{p}") * pr + F.col(f"j_{p}") * pj) / (pr + pj)).alias("rho")) for p in rest]))
+    spread = F.sqrt((pr * pr * gr * gr + pj * pj * gj * gj) / ((pr + pj) * (pr + pj)))
+    return m.select(each.alias("e"), spread.alias("g"), (pr + pj).alias("p")).select(
+        "e.party", r6(F.col("e.rho")).alias("rho_new"), r6(F.col("g")).alias("sigma_new"),
+        r6(F.col("p")).alias("p_new"))

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pollspark.catalogue.base import (
-    AS_OF, CTE_SHARE, ORIGIN, PARTY_IDX, SQL_PARTY_IDX, orders, period_votes, query, r6, size_of,
-    sql_t, table,
+    AS_OF, CTE_SHARE, ORIGIN, orders, period_votes, query, r6, size_of, sql_t, table,
 )
 from pollspark.dims import map_lookup
 from pollspark.functions import dates, hashing, numeric as N, text as X
@@ -187,16 +186,17 @@ def panel_strings(spark: SparkSession, sf: str) -> DataFrame:
     """Parties of a period by share as display text, with bar width and axis range."""
     w = Window.partitionBy("t")
     s = period_votes(spark, sf).withColumn("s", F.col("y") / F.sum("y").over(w))
-    extent = s.agg(F.max("s").alias("top"), F.min("t").alias("t0"), F.max("t").alias("t1"))
     shown = F.transform("e", lambda x: F.concat(
         x["party"], F.lit(" "), F.format_string("%.1f", F.round(x["s"] * 1000) / 10), F.lit("%")))
     ordered_ = F.array_sort(
         F.collect_list(F.struct("party", "s")),
         lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1)
         .when(a["party"] < b["party"], -1).otherwise(1))
-    return s.groupBy("t").agg(ordered_.alias("e"), F.max("s").alias("m")).crossJoin(extent).select(
-        "t", F.array_join(shown, ", ").alias("panel"), r6(F.col("m") / F.col("top")).alias("width"),
-        F.col("t0").alias("first_t"), F.col("t1").alias("last_t"))
+    whole = Window.partitionBy()  # one row per period
+    return s.groupBy("t").agg(ordered_.alias("e"), F.max("s").alias("m")).select(
+        "t", F.array_join(shown, ", ").alias("panel"),
+        r6(F.col("m") / F.max("m").over(whole)).alias("width"),
+        F.min("t").over(whole).alias("first_t"), F.max("t").over(whole).alias("last_t"))
 
 
 @query(f"""WITH v AS (SELECT l_returnflag AS party, o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS d, l_quantity
@@ -213,12 +213,11 @@ def distinct_and_extent(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey", F.col("l_returnflag").alias("party")).agg(F.sum("l_quantity").alias("q"))
     o = orders(spark, sf, "o_custkey")
     v = lines.join(o, lines.l_orderkey == o.o_orderkey)
-    sources = v.select("party", "o_custkey").distinct().groupBy("party").agg(
-        F.count(F.lit(1)).alias("n_sources"))
+    # Spark counts distinct values in two steps, first per (party, source).
     return v.groupBy("party").agg(
-        F.count(F.lit(1)).alias("n_polls"), iso(F.min("day")).alias("first_day"),
-        iso(F.max("day")).alias("last_day"), F.sum("q").cast("bigint").alias("total")).join(
-        sources, "party").select("party", "n_polls", "n_sources", "first_day", "last_day", "total")
+        F.count(F.lit(1)).alias("n_polls"), F.count_distinct("o_custkey").alias("n_sources"),
+        iso(F.min("day")).alias("first_day"), iso(F.max("day")).alias("last_day"),
+        F.sum("q").cast("bigint").alias("total"))
 
 
 @query("""SELECT o_orderpriority AS source, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, o_totalprice

@@ -1,7 +1,7 @@
 """Ordered scans that survive a hot key.
 
 A plain window sends every row of one key to one task, which fails when a key holds a large part
-of the table. Here the order is cut into bins at literal cut points. Each (key, bin) group is one
+of the table. Here the order of such keys is cut into bins at literal cut points. Each (key, bin) group is one
 window partition, and what the bins before it add up to enters as one extra "carry" row that
 sorts first. Results are the same as with the plain window, and no group exceeds a bin.
 
@@ -16,11 +16,12 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_BIN = 1_000_000
 MAX_BINS = 4096
 _SAMPLES_PER_BIN = 40
-_BIN, _ROW = "__bin", "__row"
+_BIN, _ROW, _HOT = "__bin", "__row", "__hot"
 
 
 def cut_points(df: DataFrame, cols: list[str], n_rows: int,
@@ -66,6 +67,32 @@ def bin_of(df: DataFrame, cols: list[str], cuts: list[tuple[str, ...]]) -> Colum
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def hot_keys(df: DataFrame, keys: list[str], order: list[str], n_rows: int,
+             rows_per_bin: int = ROWS_PER_BIN) -> list[tuple]:
+    """Keys with more rows than one task should take; about ``MAX_BINS`` of them can exist.
+
+    Sizes are estimated from the rows of every m-th hash of the order, about 1000 rows at the
+    limit; a key misjudged near the limit is only cut, or not cut, and the result is the same.
+    """
+    limit = max(rows_per_bin, n_rows // MAX_BINS)
+    every = max(1, limit // 1000)
+    chosen = df if every == 1 else df.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0)
+    big = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(
+        F.col("__n") * every > limit)
+    return [tuple(r) for r in big.select(*keys).collect()]
+
+
+def flag_hot(df: DataFrame, keys: list[str], hot: list[tuple], name: str) -> DataFrame:
+    """Mark the rows of hot keys; the list is bounded by ``MAX_BINS``, so it is broadcast."""
+    names = [f"__h_{k}" for k in keys]
+    schema = T.StructType([T.StructField(n, df.schema[k].dataType) for n, k in zip(names, keys)])
+    known = df.sparkSession.createDataFrame(hot, schema).withColumn(name, F.lit(True))
+    same = F.lit(True)
+    for k, n in zip(keys, names):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return df.join(F.broadcast(known), same, "left").drop(*names).fillna(False, [name])
+
+
 def scan(df: DataFrame, keys: list[str], order: list[str],
          values: dict[str, tuple[str, Column]], n_rows: int,
          rows_per_bin: int = ROWS_PER_BIN, reverse: bool = False) -> DataFrame:
@@ -73,36 +100,39 @@ def scan(df: DataFrame, keys: list[str], order: list[str],
 
     Kinds ``sum``, ``max``, ``min`` run over the rows up to and including the current one;
     ``lag`` is the expression's value on the row before. ``order`` must be a total order of the
-    rows of a key, ascending with nulls first; ``reverse`` turns it round.
+    rows of a key, ascending with nulls first; ``reverse`` turns it round. Where the table or its
+    largest key fits one task this is a plain window; otherwise only the hot keys are cut.
     """
-    cuts = cut_points(df, order, n_rows, rows_per_bin)
     arrow = F.desc_nulls_last if reverse else F.asc_nulls_first
     ordering = [arrow(c) for c in order]
     names = {name: f"__v_{name}" for name in values}
     rows = df.withColumns({names[n]: e for n, (_, e) in values.items()})
 
-    if not cuts:
+    cut = n_rows > rows_per_bin
+    hot = hot_keys(df, keys, order, n_rows, rows_per_bin) if cut and keys else []
+    if not cut or (keys and not hot):
+        part, cuts = rows, []
         w = Window.partitionBy(*keys).orderBy(*ordering)
-        part = rows
     else:
-        rows = rows.withColumns({_BIN: bin_of(df, order, cuts), _ROW: F.lit(1)})
-        totals = rows.groupBy(*keys, _BIN).agg(*[
+        flagged = flag_hot(rows, keys, hot, _HOT) if keys else rows.withColumn(_HOT, F.lit(True))
+        cuts = cut_points(flagged.where(_HOT), order, n_rows, rows_per_bin)
+        rows = flagged.withColumns({
+            _BIN: F.when(F.col(_HOT), bin_of(df, order, cuts)).otherwise(0), _ROW: F.lit(1)})
+        totals = rows.where(_HOT).groupBy(*keys, _BIN).agg(*[
             (F.max_by(names[n], F.struct(*order)) if kind == "lag" and not reverse
              else F.min_by(names[n], F.struct(*order)) if kind == "lag"
              else _MERGE[kind](names[n])).alias(names[n])
             for n, (kind, _) in values.items()
         ])
+        # Before every bin of a hot key: at most MAX_BINS rows per key.
         before = Window.partitionBy(*keys).orderBy(arrow(_BIN))
+        earlier = before.rowsBetween(Window.unboundedPreceding, -1)
         carry = totals.select(
-            *keys, _BIN, F.lit(0).alias(_ROW),
+            *keys, _BIN, F.lit(0).alias(_ROW), F.row_number().over(before).alias("__n"),
             *[(F.lag(names[n]).over(before) if kind == "lag"
-               else _MERGE[kind](names[n]).over(
-                   before.rowsBetween(Window.unboundedPreceding, -1))).alias(names[n])
+               else _MERGE[kind](names[n]).over(earlier)).alias(names[n])
               for n, (kind, _) in values.items()],
-        )
-        # The first bin of a key has nothing before it; a carry row there would hide "no row".
-        first = Window.partitionBy(*keys).orderBy(arrow(_BIN))
-        carry = carry.withColumn("__n", F.row_number().over(first)).where("__n > 1").drop("__n")
+        ).where("__n > 1").drop("__n")  # nothing comes before the first bin of a key
         part = rows.unionByName(carry, allowMissingColumns=True)
         w = Window.partitionBy(*keys, _BIN).orderBy(F.asc(_ROW), *ordering)
 
@@ -111,9 +141,9 @@ def scan(df: DataFrame, keys: list[str], order: list[str],
         n: F.lag(names[n]).over(w) if kind == "lag" else _MERGE[kind](names[n]).over(up_to_here)
         for n, (kind, _) in values.items()
     })
-    if cuts:
+    if _ROW in part.columns:
         out = out.where(F.col(_ROW) == 1)
-    return out.drop(_BIN, _ROW, *names.values())
+    return out.drop(_BIN, _ROW, _HOT, *names.values())
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str, n_rows: int,

@@ -1,13 +1,13 @@
 """Exact quantiles per group, linear between neighbours, for groups of any size.
 
 Spark's ``percentile`` is exact but keeps the distinct values of a group in one task. It is used
-while the whole table is small enough for that. Beyond, values are counted per (group, value),
+while the largest group is small enough for that. Beyond, values are counted per (group, value),
 cut into bins at literal points, and only the bins that hold a wanted rank are ordered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pollspark.operators.joins import salted_lookup
@@ -18,19 +18,43 @@ ONE_TASK_ROWS = 1_000_000
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
                     names: list[str], n_rows: int, one_task_rows: int = ONE_TASK_ROWS,
-                    rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
+                    rows_per_bin: int = ROWS_PER_BIN,
+                    extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per group with ``n`` and the named quantiles; nulls are ignored.
 
-    ``n_rows`` is an upper bound of the rows of ``df`` (the count of its table); no group can be
-    larger, so it decides which way is safe.
+    ``n_rows`` is an upper bound of the rows of ``df`` (the count of its table). Only where it
+    exceeds one task is the largest group estimated. ``extra`` holds further aggregates by name,
+    taken in the same pass where possible.
     """
-    if n_rows <= one_task_rows:
+    extra = extra or {}
+    more = [c.alias(n) for n, c in extra.items()]
+    if n_rows <= one_task_rows or _largest_group(
+            df, keys, value, one_task_rows) <= one_task_rows:
         levels = F.array(*[F.lit(float(p)) for p in probs])
         out = df.groupBy(*keys).agg(
-            F.count(value).alias("n"), F.percentile(value, levels).alias("__q"))
+            F.count(value).alias("n"), F.percentile(value, levels).alias("__q"), *more)
         return out.select(*keys, "n", *[
-            F.get("__q", F.lit(i)).alias(name) for i, name in enumerate(names)])
-    return _by_rank(df, keys, value, probs, names, n_rows, rows_per_bin)
+            F.get("__q", F.lit(i)).alias(name) for i, name in enumerate(names)], *extra)
+    ranked = _by_rank(df, keys, value, probs, names, n_rows, rows_per_bin)
+    if not extra:
+        return ranked
+    side = df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(*more)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return ranked.join(side, same).select(*keys, "n", *names, *extra)
+
+
+def _largest_group(df: DataFrame, keys: list[str], value: str, one_task_rows: int) -> int:
+    """Estimated size of the largest group, from the rows of every m-th value hash.
+
+    What a task must hold are distinct values, so values are chosen, not rows; the filter on the
+    value moves below joins to the scan. The estimate only picks between two exact ways.
+    """
+    every = max(1, one_task_rows // 1000)
+    chosen = df if every == 1 else df.where(F.pmod(F.xxhash64(value), F.lit(every)) == 0)
+    counts = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+    return (counts.agg(F.max("c")).first()[0] or 0) * every
 
 
 def _by_rank(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str],
@@ -87,16 +111,16 @@ def _by_rank(df: DataFrame, keys: list[str], value: str, probs: list[float], nam
 
 
 def median_and_mad(df: DataFrame, keys: list[str], value: str, salt_by: list[str], n_rows: int,
-                   **limits: int) -> DataFrame:
+                   extra: dict[str, Column] | None = None, **limits: int) -> DataFrame:
     """Median and scaled median absolute deviation (1.4826 times the median distance).
 
     ``salt_by`` names columns that tell the rows of a group apart, to spread a large group.
     """
-    med = exact_quantiles(df, keys, value, [0.5], ["median"], n_rows, **limits)
+    med = exact_quantiles(df, keys, value, [0.5], ["median"], n_rows, extra=extra, **limits)
     dist = salted_lookup(
         df, med.select(*keys, "median"), keys, salt_by, n_rows,
         limits.get("rows_per_bin", ROWS_PER_BIN),
     ).withColumn("__d", F.abs(F.col(value) - F.col("median")))
     mad = exact_quantiles(dist, keys, "__d", [0.5], ["__mad"], n_rows, **limits)
     return med.join(mad.select(*keys, "__mad"), keys).select(
-        *keys, "n", "median", (F.col("__mad") * 1.4826).alias("mad"))
+        *keys, "n", "median", (F.col("__mad") * 1.4826).alias("mad"), *(extra or {}))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def to_wide(df: DataFrame, ids: list[str], name: str, value: str, columns: list[str],
@@ -75,6 +76,16 @@ def column_profile(df: DataFrame, order: list[str]) -> DataFrame:
     return df.agg(*aggs)
 
 
+def percent_columns(df: DataFrame, order: list[str], pattern: str) -> list[str]:
+    """Text columns whose first known value looks like a percentage; one row is looked at."""
+    names = [c for c in df.columns if isinstance(df.schema[c].dataType, T.StringType)]
+    first = column_profile(df.select(*order, *[c for c in names if c not in order]), order)
+    tests = first.select(*[
+        F.coalesce(F.col(f"{c}__first").rlike(pattern), F.lit(False)).alias(c) for c in names])
+    row = tests.first()
+    return [c for c in names if row[c]]
+
+
 def drop_null_columns(df: DataFrame) -> DataFrame:
     """Drop columns without any value; one aggregate decides, one row reaches the driver."""
     counts = df.agg(*[F.count(c).alias(c) for c in df.columns]).first()

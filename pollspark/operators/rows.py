@@ -79,10 +79,18 @@ def not_in(label: Column, deny: list[str]) -> Column:
 
 def viable_ids(df: DataFrame, poll: str, party: str, share: str,
                required: list[str]) -> DataFrame:
-    """Polls that report a positive share for every required party."""
-    hit = F.col(party).isin(required) & F.coalesce(F.col(share) > 0, F.lit(False))
-    return df.groupBy(poll).agg(F.count_if(hit).alias("__k")).where(
-        F.col("__k") == len(required)).select(poll)
+    """Polls that report a positive share for every required party.
+
+    Map-side flags per required party; rows need not be unique per party.
+    """
+    positive = F.coalesce(F.col(share) > 0, F.lit(False))
+    seen = df.groupBy(poll).agg(*[
+        F.max(F.coalesce((F.col(party) == p) & positive, F.lit(False))).alias(f"__{i}")
+        for i, p in enumerate(required)])
+    all_seen = F.lit(True)
+    for i in range(len(required)):
+        all_seen = all_seen & F.col(f"__{i}")
+    return seen.where(all_seen).select(poll)
 
 
 def pick(df: DataFrame, ids: list[str], n: int, seed: int) -> DataFrame:

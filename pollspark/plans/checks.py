@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pollspark.functions.numeric import horizon_bin
-from pollspark.operators import joins, quantiles, reshape, rows
+from pollspark.operators import quantiles, reshape, rows
 
 _LEVELS, _NAMES = [0.05, 0.25, 0.5, 0.75, 0.95], ["q05", "q25", "median", "q75", "q95"]
 
@@ -152,14 +152,21 @@ def change_probability(draws: DataFrame, threshold: float = 0.1) -> DataFrame:
         F.avg((F.abs("delta") > threshold).cast("int")).alias("change_prob"))
 
 
-def house_effects(obs: DataFrame, source: str, unit: str, value: str) -> DataFrame:
+def house_effects(cell: DataFrame, source: str, unit: str, value: str,
+                  weight: str | None = None) -> DataFrame:
     """Mean deviation of each source from its units' means, centred to sum to zero, with overlap.
 
-    ``obs`` is aggregated to one row per (source, unit) first.
+    ``cell`` has one row per (source, unit); windows see the sources of one unit, and at the end
+    one row per source. ``weight`` weighs the cells in the mean of a unit.
     """
-    cell = obs.groupBy(source, unit).agg(F.avg(value).alias("v"))
-    mean = cell.groupBy(unit).agg(F.avg("v").alias("m"))
-    dev = cell.join(mean, unit).groupBy(source).agg(F.avg(F.col("v") - F.col("m")).alias("h"))
-    centre = dev.agg(F.avg("h").alias("c"))
-    return dev.crossJoin(centre).join(joins.shared_units(cell, source, unit), source).select(
-        source, (F.col("h") - F.col("c")).alias("house_effect"), "n_units", "n_shared_units")
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    by_unit, whole = Window.partitionBy(unit), Window.partitionBy()
+    x = cell.select(
+        source, F.count(F.lit(1)).over(by_unit).alias("__sources"),
+        (F.col(value) - F.sum(F.col(value) * w).over(by_unit) / F.sum(w).over(by_unit))
+        .alias("__dev"))
+    per = x.groupBy(source).agg(
+        F.avg("__dev").alias("__h"), F.count(F.lit(1)).alias("n_units"),
+        F.count_if(F.col("__sources") > 1).alias("n_shared_units"))
+    return per.select(source, (F.col("__h") - F.avg("__h").over(whole)).alias("house_effect"),
+                      "n_units", "n_shared_units")

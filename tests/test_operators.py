@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pollspark.functions.text import PERCENT_PATTERN
 from pollspark.operators import joins, ordered, quantiles, reshape, rows
 
 d = dt.date
@@ -219,6 +220,7 @@ def test_profiles(spark):
     df = spark.createDataFrame([(1, None, "x 5 %", None), (2, "y", "6 %", None)], "i int, a string, p string, z string")
     r = reshape.column_profile(df, ["i"]).first()
     assert (r.a__n, r.a__first, r.p__first, r.z__n) == (1, "y", "x 5 %", 0)
+    assert reshape.percent_columns(df, ["i"], PERCENT_PATTERN) == ["p"]
     assert reshape.drop_null_columns(df).columns == ["i", "a", "p"]
     assert reshape.party_columns(df.withColumn("uuid", F.lit("u"))) == ["a", "i", "p", "z"]
 
