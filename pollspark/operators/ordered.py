@@ -51,10 +51,14 @@ def bin_of(df: DataFrame, cols: list[str], cuts: list[tuple[str, ...]]) -> Colum
         return F.lit(0)
     kinds = [df.schema[c].dataType for c in cols]
 
+    def pack(parts: list[Column]) -> Column:
+        return parts[0] if len(parts) == 1 else F.struct(
+            *[p.alias(c) for p, c in zip(parts, cols)])
+
     def point(cut: tuple[str, ...]) -> Column:
-        return F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(cut, kinds, cols)])
+        return pack([F.lit(v).cast(k) for v, k in zip(cut, kinds)])
 
-    here = F.struct(*[F.col(c).alias(c) for c in cols])
+    here = pack([F.col(c) for c in cols])
     width = max(1, math.isqrt(len(cuts)))
     groups = [cuts[i:i + width] for i in range(0, len(cuts), width)]
     heads = F.array(*[point(g[0]) for g in groups])

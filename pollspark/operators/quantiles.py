@@ -28,8 +28,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     """
     extra = extra or {}
     more = [c.alias(n) for n, c in extra.items()]
-    if n_rows <= one_task_rows or _largest_group(
-            df, keys, value, one_task_rows) <= one_task_rows:
+    small = n_rows <= one_task_rows or (
+        one_task_rows > 0 and _largest_group(df, keys, value, one_task_rows) <= one_task_rows)
+    if small:
         levels = F.array(*[F.lit(float(p)) for p in probs])
         out = df.groupBy(*keys).agg(
             F.count(value).alias("n"), F.percentile(value, levels).alias("__q"), *more)
