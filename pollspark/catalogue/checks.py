@@ -10,6 +10,7 @@ from pollspark.catalogue.base import (
 )
 from pollspark.functions import numeric as N
 from pollspark.operators import joins, quantiles, rows
+from pollspark.plans import checks as C
 
 _Q4, _Q4N = [0.05, 0.25, 0.5, 0.75, 0.95], ["q05", "q25", "median", "q75", "q95"]
 _SQL_Q4 = ", ".join(f"quantile_cont(value, {p}) AS {n}" for p, n in zip(_Q4, _Q4N))
@@ -157,9 +158,7 @@ def score_by_horizon(spark: SparkSession, sf: str) -> DataFrame:
 count(*) AS n FROM x GROUP BY 1, 2""")
 def mse_fit_holdout(spark: SparkSession, sf: str) -> DataFrame:
     """Mean squared error of the predicted shares per party, fit against hold-out."""
-    err = F.col("y") / F.col("n") - F.col("p")
-    return _scored(spark, sf).groupBy("party", (F.col("t") <= CUTOFF_T).alias("is_fit")).agg(
-        F.round(F.avg(err * err), 9).alias("mse"), F.count(F.lit(1)).alias("n"))
+    return C.mse_by_fit(_scored(spark, sf), CUTOFF_T).withColumn("mse", F.round("mse", 9))
 
 
 @query(f"""WITH {CTE_DRAWS}, c AS (SELECT party, l_linenumber AS chain, count(*) AS n, avg(value) AS m,

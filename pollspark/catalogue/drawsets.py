@@ -12,7 +12,7 @@ from pollspark.catalogue.base import (
 from pollspark.functions import numeric as N
 from pollspark.functions.dates import day_series, grid_index, grid_start, iso
 from pollspark.functions.text import indexed_name
-from pollspark.operators import joins, quantiles, reshape, rows
+from pollspark.operators import joins, quantiles, reshape, rows, series as S
 
 # Draws have 7 decimals, so 9 hold every interpolated quantile exactly.
 _ROUND_Q = ", ".join(f"round_even(round({k}, 9), 3) AS {k}" for k in LEVEL_KEYS)
@@ -151,14 +151,14 @@ def softmax_shares(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("embedding").cast("array<double>")
     v = table(spark, sf, "embeddings").select("label", e.alias("e"))
     half = F.transform("e", lambda x: x * 0.5)
-    err = F.zip_with("e", F.reverse("e"), lambda x, y: x + y * 0.1)
-    s = v.select("label", N.softmax_array(F.col("e")).alias("a"), N.softmax_array(half).alias("b"),
-                 N.softmax_array(err).alias("c"))
-    long = s.select("label", F.posexplode(F.arrays_zip("a", "b", "c")).alias("k", "z"))
-    a, b, c = F.col("z.a"), F.col("z.b"), F.col("z.c")
-    return long.groupBy("label", "k").agg(
-        r6(F.avg(a)).alias("share"), r6(F.avg(b)).alias("long_share"),
-        r6(F.avg(a - b)).alias("short_share"), r6(F.avg(c - a)).alias("polling_error"))
+    lng, short = S.long_short_shares(half, F.col("e"))
+    err = S.share_error(F.col("e"), F.transform(F.reverse("e"), lambda x: x * 0.1))
+    s = v.select("label", N.softmax_array(F.col("e")).alias("a"), lng.alias("b"),
+                 short.alias("c"), err.alias("d"))
+    long = s.select("label", F.posexplode(F.arrays_zip("a", "b", "c", "d")).alias("k", "z"))
+    names = {"a": "share", "b": "long_share", "c": "short_share", "d": "polling_error"}
+    return long.groupBy("label", "k").agg(*[
+        r6(F.avg(f"z.{c}")).alias(n) for c, n in names.items()])
 
 
 def basis_table(spark: SparkSession, periods: int, n_basis: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pollspark.catalogue.base import (
     CTE_SHARE, PARTIES, cells, period, period_votes, query, r6, size_of, table,
 )
 from pollspark.functions import numeric as N
-from pollspark.operators import ordered
+from pollspark.operators import ordered, series as S
 
 THETA = [0.5, 0.3, 0.2]
 
@@ -20,11 +20,6 @@ def shares(spark: SparkSession, sf: str) -> DataFrame:
     return period_votes(spark, sf).withColumn("s", F.col("y") / F.sum("y").over(w))
 
 
-def by_party():
-    """A party's series: one row per period, whatever the size of the table."""
-    return Window.partitionBy("party").orderBy("t")
-
-
 SQL_W = "OVER (PARTITION BY party ORDER BY t)"
 
 
@@ -60,14 +55,8 @@ count(CASE WHEN d1 > 0 THEN 1 END) AS rises, count(CASE WHEN gap > 1 THEN 1 END)
 FROM d GROUP BY 1""")
 def second_difference(spark: SparkSession, sf: str) -> DataFrame:
     """Roughness of every share series, with rises and missing periods."""
-    s, w = F.col("s"), by_party()
-    d = shares(spark, sf).select(
-        "party", (s - F.lag("s").over(w)).alias("d1"),
-        (s - 2 * F.lag("s").over(w) + F.lag("s", 2).over(w)).alias("d2"),
-        (F.col("t") - F.lag("t").over(w)).alias("gap"))
-    return d.groupBy("party").agg(
-        r6(F.avg(F.abs("d2"))).alias("roughness"), r6(F.max("d2")).alias("max_d2"),
-        F.count_if(F.col("d1") > 0).alias("rises"), F.count_if(F.col("gap") > 1).alias("gaps"))
+    return S.roughness(shares(spark, sf), ["party"], "t", "s").withColumns({
+        c: r6(F.col(c)) for c in ("roughness", "max_d2")})
 
 
 @query(f"""WITH {CTE_SHARE} SELECT t, party, round(s, 6) AS share,
@@ -75,9 +64,7 @@ round(0.5 * coalesce(lag(s, 1) {SQL_W}, 0) + 0.3 * coalesce(lag(s, 2) {SQL_W}, 0
  + 0.2 * coalesce(lag(s, 3) {SQL_W}, 0), 6) AS trailing FROM share""")
 def weighted_trailing(spark: SparkSession, sf: str) -> DataFrame:
     """Weighted sum of the values before each period, the nearest one first."""
-    before = F.reverse(F.collect_list("s").over(by_party().rowsBetween(-len(THETA), -1)))
-    weights = F.slice(F.array(*[F.lit(x) for x in THETA]), 1, F.size(before))
-    return shares(spark, sf).withColumn("trailing", N.dot(before, weights)).select(
+    return S.weighted_trailing(shares(spark, sf), ["party"], "t", "s", THETA, "trailing").select(
         "t", "party", r6(F.col("s")).alias("share"), r6(F.col("trailing")).alias("trailing"))
 
 
@@ -108,16 +95,12 @@ round(avg(CASE WHEN abs(d) > 0.01 THEN 1.0 ELSE 0.0 END), 6) AS change_prob,
 round(corr(s, f), 6) AS r FROM f JOIN m USING (party) WHERE f IS NOT NULL GROUP BY 1""")
 def fit_quality(spark: SparkSession, sf: str) -> DataFrame:
     """R², largest error, correlation and share of large moves against a trailing mean."""
-    f = shares(spark, sf).withColumns({
-        "f": F.avg("s").over(by_party().rowsBetween(-3, -1)),
-        "d": F.col("s") - F.lag("s").over(by_party())}).where("f is not null").withColumn(
-        "mean_s", F.avg("s").over(Window.partitionBy("party")))
-    err, dev = F.col("s") - F.col("f"), F.col("s") - F.col("mean_s")
-    return f.groupBy("party").agg(
-        r6(1 - F.sum(err * err) / F.sum(dev * dev)).alias("r2"),
-        r6(F.max(F.abs(err))).alias("max_abs_error"),
-        r6(F.avg(F.when(F.abs("d") > 0.01, 1.0).otherwise(0.0))).alias("change_prob"),
-        r6(F.corr("s", "f")).alias("r"))
+    f = S.trailing_fit(shares(spark, sf), ["party"], "t", "s", 3).where("fit is not null")
+    moves = f.groupBy("party").agg(
+        r6(F.avg((F.abs("d") > 0.01).cast("int"))).alias("change_prob"))
+    return S.fit_quality(f, ["party"], "s", "fit").join(moves, "party").select(
+        "party", r6(F.col("r2")).alias("r2"), r6(F.col("max_abs_error")).alias("max_abs_error"),
+        "change_prob", r6(F.col("r")).alias("r"))
 
 
 @query(f"""WITH {CTE_SHARE}, m AS (SELECT party, sum(y) / (SELECT sum(y) FROM period) AS p FROM period
@@ -158,8 +141,9 @@ def party_dropout(spark: SparkSession, sf: str) -> DataFrame:
     pr, pj, gr, gj = (F.col(c) for c in ("p_r", "p_j", "g_r", "g_j"))
     each = F.explode(F.array(*[F.struct(
         F.lit(p).alias("party"),
-        ((F.col(f"r_{p}") * pr + F.col(f"j_{p}") * pj) / (pr + pj)).alias("rho")) for p in rest]))
-    spread = F.sqrt((pr * pr * gr * gr + pj * pj * gj * gj) / ((pr + pj) * (pr + pj)))
+        N.absorbed_correlation(F.col(f"r_{p}"), F.col(f"j_{p}"), pr, pj).alias("rho"))
+        for p in rest]))
+    spread = N.absorbed_sigma(gr, gj, pr, pj)
     return m.select(each.alias("e"), spread.alias("g"), (pr + pj).alias("p")).select(
         "e.party", r6(F.col("e.rho")).alias("rho_new"), r6(F.col("g")).alias("sigma_new"),
         r6(F.col("p")).alias("p_new"))

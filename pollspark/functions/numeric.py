@@ -74,6 +74,35 @@ def standardised_residual(observed: Column, expected: Column) -> Column:
     return (observed - expected) / F.sqrt(expected * (F.lit(1.0) - expected))
 
 
+def absorbed_correlation(rho_r: Column, rho_j: Column, p_r: Column, p_j: Column) -> Column:
+    """Correlation with the residual after it absorbs party j: share-weighted mean."""
+    return (rho_r * p_r + rho_j * p_j) / (p_r + p_j)
+
+
+def absorbed_sigma(sigma_r: Column, sigma_j: Column, p_r: Column, p_j: Column) -> Column:
+    """Spread of the residual after it absorbs party j: pooled with squared shares."""
+    total = p_r + p_j
+    return F.sqrt((p_r * p_r * sigma_r * sigma_r + p_j * p_j * sigma_j * sigma_j)
+                  / (total * total))
+
+
+def interval_index(x: Column, breaks: list, rightmost_closed: bool = False) -> Column:
+    """Number of breaks at or below ``x``, for breaks that follow no rule; 0 below the first.
+
+    With ``rightmost_closed`` a value equal to the last break belongs to the interval before it.
+    """
+    points = F.array(*[F.lit(b) for b in sorted(breaks)])
+    i = F.when(x.isNotNull(), F.size(F.filter(points, lambda b: b <= x)))
+    if not rightmost_closed or len(breaks) < 2:
+        return i
+    return F.when(x == F.lit(max(breaks)), len(breaks) - 1).otherwise(i)
+
+
+def list_position(x: Column, levels: list[str]) -> Column:
+    """Position of a label in a given list, to sort by; null for other labels."""
+    return F.nullif(F.array_position(F.array(*[F.lit(v) for v in levels]), x), F.lit(0))
+
+
 def is_close(actual: Column, desired: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
     return F.abs(actual - desired) <= F.lit(atol) + F.lit(rtol) * F.abs(desired)
 

@@ -62,6 +62,28 @@ def predictive_calibration(replicates: DataFrame, n_rows: int) -> DataFrame:
         F.avg(inside).alias("coverage_90"))
 
 
+def retrodictive(draws: DataFrame, elections: DataFrame, observed: DataFrame,
+                 replicates: DataFrame, n_draws: int, n_replicates: int) -> dict[str, DataFrame]:
+    """The three checks of a fit: election recovery, residuals, predictive calibration."""
+    recovery = election_recovery(draws, elections, n_draws)
+    return {
+        "by_election": recovery, "election_recovery": coverage(recovery),
+        "residuals": residual_summary(residuals(observed, draws, n_draws)),
+        "ppc": predictive_calibration(replicates, n_replicates)}
+
+
+def by_horizon(log_lik: DataFrame, replicates: DataFrame, mse: DataFrame,
+               edges: tuple[int, ...] = (4, 12, 26)) -> dict[str, DataFrame]:
+    """Diagnostics by horizon: log scores, error per party, PIT coverage.
+
+    ``replicates`` has (survey_idx, party, horizon, y_rep, y); ``mse`` the draws of the errors as
+    (variable, i, j, value).
+    """
+    pits = pit(replicates, ["survey_idx", "party", "horizon"])
+    return {"elpd": elpd_by_horizon(log_lik, edges), "mse": parameter_summary(mse),
+            "coverage": pit_coverage(pits, "horizon", edges)}
+
+
 def pit(replicates: DataFrame, keys: list[str]) -> DataFrame:
     """P(replicate >= observed) per observation; ties count."""
     return replicates.groupBy(*keys).agg(
@@ -130,6 +152,22 @@ def profile_summary(profile: DataFrame) -> DataFrame:
     ).orderBy(F.desc("total_time"))
 
 
+def sampler_totals(diagnostics: DataFrame) -> DataFrame:
+    """Divergences and depth hits over chains, one row."""
+    return diagnostics.agg(F.sum("num_divergent").alias("n_divergent"),
+                           F.sum("num_max_treedepth").alias("max_treedepth_hits"))
+
+
+def mse_by_fit(obs: DataFrame, cutoff: int) -> DataFrame:
+    """Squared error of predicted shares per party, fit window against hold-out.
+
+    ``obs`` has (t, party, y, n, p).
+    """
+    err = F.col("y") / F.col("n") - F.col("p")
+    return obs.groupBy("party", (F.col("t") <= cutoff).alias("is_fit")).agg(
+        F.avg(err * err).alias("mse"), F.count(F.lit(1)).alias("n"))
+
+
 def compare_models(runs: dict[str, DataFrame]) -> DataFrame:
     """One row per model from its per-chain diagnostics (seconds, n_divergent, depth_hits, ess, rhat)."""
     return reshape.tagged_union(runs, "model").groupBy("model").agg(

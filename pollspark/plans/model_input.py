@@ -107,11 +107,17 @@ def transform_polls(long: DataFrame, start: str, end: str, parties: list[str],
              "survey_count", "party", "pollster", "vote_share")
 
 
-def with_pattern(df: DataFrame, parties: list[str], must_report: str) -> DataFrame:
-    """Add every poll's reporting pattern and its index; polls without ``must_report`` go."""
+def with_pattern(df: DataFrame, parties: list[str], must_report: str,
+                 exclude: str | None = None) -> DataFrame:
+    """Add every poll's reporting pattern and its index.
+
+    Polls without ``must_report`` go, and so do those whose pattern equals ``exclude``.
+    """
     order = {p: i + 1 for i, p in enumerate(parties)}
     pat = reshape.reporting_pattern(df.where("vote_share > 0"), "uuid", "party", order).where(
         F.col("pattern").contains(must_report)).select("uuid", "pattern")
+    if exclude is not None:
+        pat = pat.where(F.col("pattern") != exclude)
     idx = joins.sorted_positions(pat, "pattern", "pattern_idx")  # at most one row per subset
     return df.join(pat.join(idx, "pattern"), "uuid")
 

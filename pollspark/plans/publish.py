@@ -139,6 +139,19 @@ def export_all(trend: DataFrame, polls: DataFrame, results: DataFrame, days: Dat
     write_document(polls_header(rows, generated_at), rows, f"{out}/polls", keep_nulls=True)
 
 
+def benchmark_document(header: dict[str, str], sections: dict[str, DataFrame]) -> DataFrame:
+    """One JSON text of a run: header texts and every section as an array of objects.
+
+    Sections are summaries, one row per party, election or parameter.
+    """
+    doc = None
+    for name, df in sections.items():
+        one = df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+        doc = one if doc is None else doc.crossJoin(one)
+    meta = F.struct(*[F.lit(v).alias(k) for k, v in header.items()])
+    return doc.select(F.to_json(F.struct(meta.alias("metadata"), *sections)).alias("value"))
+
+
 def append_benchmark(sections: dict[str, DataFrame], run_ts: str, out: str) -> None:
     """Append the check tables of one run to a metrics table, one JSON text per row."""
     for name, df in sections.items():

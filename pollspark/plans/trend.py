@@ -9,6 +9,7 @@ from pollspark import dims
 from pollspark.functions.dates import grid_start
 from pollspark.functions.text import indexed_name
 from pollspark.operators import quantiles
+from pollspark.operators.series import softmax_rows
 from pollspark.plans.model_input import party_index
 
 
@@ -45,11 +46,6 @@ def spline_path(basis: DataFrame, beta: DataFrame) -> DataFrame:
         F.sum(F.col("b") * F.col("beta")).alias("alpha"))
 
 
-def softmax_long(df: DataFrame, keys: list[str], value: str, name: str = "share") -> DataFrame:
-    """Softmax over the rows of a key; a key holds one row per party."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys)
-    e = F.exp(F.col(value) - F.max(value).over(w))
-    return df.withColumn("__e", e).withColumn(
-        name, F.col("__e") / F.sum("__e").over(w)).drop("__e")
+def path_shares(basis: DataFrame, beta: DataFrame) -> DataFrame:
+    """Shares per draw, period and party from spline coefficients."""
+    return softmax_rows(spline_path(basis, beta), ["draw", "t"], "alpha")

@@ -222,3 +222,17 @@ def test_null_sums(spark):
     df = spark.createDataFrame([(None, None), (1.0, None)], "a double, b double")
     assert [r.s for r in df.select(N.row_sum(["a", "b"]).alias("s")).collect()] == [0.0, 1.0]
     assert df.agg(N.sum0(F.col("b")).alias("s")).first().s == 0.0
+
+
+def test_interval_index_and_position(spark):
+    xs = [0.5, 1.0, 2.9, 3.0, 7.0, 9.0, None]
+    assert column(spark, lambda x: N.interval_index(x, [1.0, 3.0, 7.0]), xs, "double") == [0, 1, 1, 2, 3, 3, None]
+    assert column(spark, lambda x: N.interval_index(x, [1.0, 3.0, 7.0], True), xs, "double") == [0, 1, 1, 2, 2, 3, None]
+    assert column(spark, lambda x: N.list_position(x, ["b", "a"]), ["a", "b", "c", None]) == [2, 1, None, None]
+
+
+def test_absorbed_party(spark):
+    c = [F.lit(x) for x in (0.2, 0.6, 0.3, 0.1)]
+    r = spark.range(1).select(N.absorbed_correlation(*c).alias("r"), N.absorbed_sigma(*c).alias("s")).first()
+    assert r.r == pytest.approx((0.2 * 0.3 + 0.6 * 0.1) / 0.4)
+    assert r.s == pytest.approx(math.sqrt((0.09 * 0.04 + 0.01 * 0.36) / 0.16))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pollspark import dims, schemas
 from pollspark.functions.dates import day_series
+from pollspark.operators import series
 from pollspark.plans import canonical, checks, model_input, publish, reference, trend
 
 d = dt.date
@@ -352,8 +353,58 @@ def test_house_effects_sum_to_zero(spark):
 
 def test_softmax_and_path(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 900.0), (2, "b", 900.0)], "t int, party string, x double")
-    out = trend.softmax_long(df, ["t"], "x")
+    out = series.softmax_rows(df, ["t"], "x")
     assert all(abs(r.s - 1) < 1e-12 for r in out.groupBy("t").agg(F.sum("share").alias("s")).collect())
     basis = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.5)], "t int, k int, b double")
     beta = spark.createDataFrame([(9, 0, "a", 2.0), (9, 1, "a", 4.0)], "draw int, k int, party string, beta double")
     assert trend.spline_path(basis, beta).first().alpha == 3.0
+    assert trend.path_shares(basis, beta).first().share == 1.0
+
+
+def test_composite_checks(spark, drawn):
+    x = trend.parse_names(drawn)
+    idx = model_input.party_index(spark, dims.MODEL_PARTIES)
+    dr = x.join(idx, x.j == idx.party_idx).select(F.col("i").alias("t"), "party", "value")
+    e = spark.createDataFrame([(d(1998, 1, 20), 2, "SPD", 0.2)], "election_date date, t int, party string, actual double")
+    obs = dr.groupBy("t", "party").agg(F.avg("value").alias("share"))
+    reps = spark.createDataFrame([(1, "A", 0.5, i / 10) for i in range(11)],
+                                 "obs_idx int, party string, observed double, simulated double")
+    out = checks.retrodictive(dr, e, obs, reps, 4200, 11)
+    doc = json.loads(publish.benchmark_document({"model_name": "spline"}, {
+        "residuals": out["residuals"], "ppc": out["ppc"], "recovery": out["election_recovery"]}).first().value)
+    assert doc["metadata"]["model_name"] == "spline" and len(doc["residuals"]) == 7
+    assert doc["ppc"] == [{"party": "A", "coverage_90": 1.0}]
+    ll = spark.createDataFrame([(1, 0, -1.0)], "survey_idx int, horizon int, value double")
+    rep = spark.createDataFrame([(1, "A", 0, 5, 5), (1, "A", 0, 4, 5)], "survey_idx int, party string, horizon int, y_rep int, y int")
+    mse = spark.createDataFrame([("mse_fit", 1, None, 0.1), ("mse_fit", 1, None, 0.3)], "variable string, i int, j int, value double")
+    h = checks.by_horizon(ll, rep, mse)
+    assert h["elpd"].first().elpd_per_obs == -1.0 and h["coverage"].first().coverage_50 == 1.0
+    assert h["mse"].first()["mean"] == pytest.approx(0.2)
+    s = checks.sampler_totals(spark.createDataFrame([(1, 2), (3, 0)], "num_divergent int, num_max_treedepth int")).first()
+    assert tuple(s) == (4, 2)
+
+
+def test_series_operators(spark):
+    df = spark.createDataFrame([("a", t, float(v)) for t, v in ((1, 1), (2, 3), (3, 2), (5, 6))], "k string, t int, v double")
+    r = series.roughness(df, ["k"], "t", "v").first()
+    assert (r.roughness, r.max_d2, r.rises, r.gaps) == (4.0, 5.0, 2, 1)
+    w = series.weighted_trailing(df, ["k"], "t", "v", [0.5, 0.25], "w").orderBy("t").collect()
+    assert [x.w for x in w] == [0.0, 0.5, 1.75, 1.75]
+    p = series.path(df, ["k"], "t", "v", "p").orderBy("t").collect()
+    assert [x.p for x in p] == [1, 4, 6, 12]
+    q = series.fit_quality(df.withColumn("f", F.col("v") + 0.5), ["k"], "v", "f").first()
+    assert q.max_abs_error == 0.5 and q.r == pytest.approx(1) and q.r2 == pytest.approx(1 - 1 / 14)
+    a = spark.createDataFrame([([1.0, 2.0], [0.5, 1.0], [0.1, -0.1])], "e array<double>, l array<double>, x array<double>")
+    lng, short = series.long_short_shares(F.col("l"), F.col("e"))
+    got = a.select(lng.alias("lng"), short.alias("short"), series.share_error(F.col("e"), F.col("x")).alias("err")).first()
+    sm = lambda z: np.exp(z) / np.exp(z).sum()
+    assert np.allclose(np.array(got.lng) + np.array(got.short), sm(np.array([1.0, 2.0])))
+    assert np.allclose(got.err, sm(np.array([1.1, 1.9])) - sm(np.array([1.0, 2.0])))
+
+
+def test_pattern_exclusion(spark):
+    df = spark.createDataFrame([("u1", "A", 1.0), ("u1", "R", 1.0), ("u2", "R", 2.0), ("u3", "A", 1.0)],
+                               "uuid string, party string, vote_share double")
+    out = model_input.with_pattern(df, ["A", "R"], "R")
+    assert {r.uuid: (r.pattern, r.pattern_idx) for r in out.collect()} == {"u1": ("A | R", 1), "u2": ("R", 2)}
+    assert {r.uuid for r in model_input.with_pattern(df, ["A", "R"], "R", "A | R").collect()} == {"u2"}
