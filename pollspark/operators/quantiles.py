@@ -1,8 +1,9 @@
 """Exact quantiles per group, linear between neighbours, for groups of any size.
 
 Spark's ``percentile`` is exact but keeps the distinct values of a group in one task. It is used
-while the largest group is small enough for that. Beyond, values are counted per (group, value),
-cut into bins at literal points, and only the bins that hold a wanted rank are ordered.
+while the largest group is small enough for that. Beyond, values are cut into bins at literal points
+and counted per (group, bin); only rows of bins that hold a wanted rank are counted per value and
+ordered.
 """
 
 from __future__ import annotations
@@ -12,13 +13,18 @@ from pyspark.sql import functions as F
 
 from pollspark.operators.joins import salted_lookup
 from pollspark.operators.ordered import ROWS_PER_BIN, bin_of, cut_points
+from pollspark.session import checkpointed
 
 ONE_TASK_ROWS = 1_000_000
+# Narrow bins: the fewer rows a bin holds, the fewer are ranked.
+ROWS_PER_VALUE_BIN = 500_000
+# Rows of a lookup that may be broadcast, counted first; about 20 MB.
+BROADCAST_ROWS = 200_000
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
                     names: list[str], n_rows: int, one_task_rows: int = ONE_TASK_ROWS,
-                    rows_per_bin: int = ROWS_PER_BIN,
+                    rows_per_bin: int = ROWS_PER_VALUE_BIN,
                     extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per group with ``n`` and the named quantiles; nulls are ignored.
 
@@ -61,15 +67,12 @@ def _largest_group(df: DataFrame, keys: list[str], value: str, one_task_rows: in
 def _by_rank(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str],
              n_rows: int, rows_per_bin: int) -> DataFrame:
     cuts = cut_points(df, [value], n_rows, rows_per_bin)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-        .withColumn("__bin", bin_of(df, [value], cuts))
-    )
+    binned = df.where(F.col(value).isNotNull()).select(*keys, value).withColumn(
+        "__bin", bin_of(df, [value], cuts))
     # Rows before each bin of a group: at most MAX_BINS rows per group.
     by_bin = Window.partitionBy(*keys).orderBy("__bin")
     bins = (
-        counts.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__in"))
+        binned.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__in"))
         .withColumn("__n", F.sum("__in").over(Window.partitionBy(*keys)))
         .withColumn("__before", F.sum("__in").over(by_bin) - F.col("__in"))
     )
@@ -78,7 +81,8 @@ def _by_rank(df: DataFrame, keys: list[str], value: str, probs: list[float], nam
         at = (F.col("__n") - 1) * F.lit(float(p))
         ranks += [F.floor(at), F.ceil(at)]
     inside = lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__in"))
-    wanted = (
+    # At most two rows per level and group, written once: both steps below read it.
+    wanted = checkpointed(
         bins.withColumn("__ranks", F.filter(F.array_distinct(F.array(*ranks)), inside))
         .where(F.size("__ranks") > 0)
         .select(*[F.col(k).alias(f"__k_{k}") for k in keys],
@@ -87,6 +91,11 @@ def _by_rank(df: DataFrame, keys: list[str], value: str, probs: list[float], nam
     same = F.col("__bin") == F.col("__kbin")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    if wanted.count() <= BROADCAST_ROWS:
+        # Only rows of wanted bins are shuffled; equal values combine on the map side.
+        wanted = F.broadcast(wanted)
+        binned = binned.join(wanted, same, "left_semi")
+    counts = binned.groupBy(*keys, "__bin", value).agg(F.count(F.lit(1)).alias("__c"))
     in_bin = Window.partitionBy(*keys, "__bin").orderBy(value)
     upto = F.col("__before") + F.sum("__c").over(in_bin)
     hits = (
@@ -118,6 +127,8 @@ def median_and_mad(df: DataFrame, keys: list[str], value: str, salt_by: list[str
     ``salt_by`` names columns that tell the rows of a group apart, to spread a large group.
     """
     med = exact_quantiles(df, keys, value, [0.5], ["median"], n_rows, extra=extra, **limits)
+    if n_rows > limits.get("one_task_rows", ONE_TASK_ROWS):
+        med = checkpointed(med)  # one row per group, read three times
     dist = salted_lookup(
         df, med.select(*keys, "median"), keys, salt_by, n_rows,
         limits.get("rows_per_bin", ROWS_PER_BIN),
