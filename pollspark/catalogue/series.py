@@ -95,12 +95,11 @@ round(avg(CASE WHEN abs(d) > 0.01 THEN 1.0 ELSE 0.0 END), 6) AS change_prob,
 round(corr(s, f), 6) AS r FROM f JOIN m USING (party) WHERE f IS NOT NULL GROUP BY 1""")
 def fit_quality(spark: SparkSession, sf: str) -> DataFrame:
     """R², largest error, correlation and share of large moves against a trailing mean."""
-    f = S.trailing_fit(shares(spark, sf), ["party"], "t", "s", 3).where("fit is not null")
-    moves = f.groupBy("party").agg(
-        r6(F.avg((F.abs("d") > 0.01).cast("int"))).alias("change_prob"))
-    return S.fit_quality(f, ["party"], "s", "fit").join(moves, "party").select(
-        "party", r6(F.col("r2")).alias("r2"), r6(F.col("max_abs_error")).alias("max_abs_error"),
-        "change_prob", r6(F.col("r")).alias("r"))
+    f = S.trailing_fit(shares(spark, sf), ["party"], "t", "s", 3)
+    moved = F.avg((F.abs("d") > 0.01).cast("int"))
+    q = S.fit_quality(f, ["party"], "s", "fit", {"change_prob": moved})
+    return q.select("party", *[
+        r6(F.col(c)).alias(c) for c in ("r2", "max_abs_error", "change_prob", "r")])
 
 
 @query(f"""WITH {CTE_SHARE}, m AS (SELECT party, sum(y) / (SELECT sum(y) FROM period) AS p FROM period

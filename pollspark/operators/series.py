@@ -51,14 +51,19 @@ def trailing_fit(df: DataFrame, keys: list[str], order: str, value: str, n: int)
         "d": F.col(value) - F.lag(value).over(w)})
 
 
-def fit_quality(df: DataFrame, keys: list[str], truth: str, fit: str) -> DataFrame:
-    """R², largest error and correlation of a fit against the truth, per series."""
+def fit_quality(df: DataFrame, keys: list[str], truth: str, fit: str,
+                extra: dict[str, Column] | None = None) -> DataFrame:
+    """R², largest error and correlation of a fit against the truth, per series.
+
+    ``extra`` holds further aggregates by name over the same rows.
+    """
     both = df.where(F.col(truth).isNotNull() & F.col(fit).isNotNull()).withColumn(
         "__mean", F.avg(truth).over(Window.partitionBy(*keys)))
     err, dev = F.col(truth) - F.col(fit), F.col(truth) - F.col("__mean")
     return both.groupBy(*keys).agg(
         (1 - F.sum(err * err) / F.sum(dev * dev)).alias("r2"),
-        F.max(F.abs(err)).alias("max_abs_error"), F.corr(truth, fit).alias("r"))
+        F.max(F.abs(err)).alias("max_abs_error"), F.corr(truth, fit).alias("r"),
+        *[c.alias(n) for n, c in (extra or {}).items()])
 
 
 def softmax_rows(df: DataFrame, keys: list[str], value: str, name: str = "share") -> DataFrame:
