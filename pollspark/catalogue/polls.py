@@ -403,7 +403,7 @@ def presence_lists(spark: SparkSession, sf: str) -> DataFrame:
     Survey numbers run over the whole table and positions over all surveys of a party, so both
     are binned scans; a list per party would not fit one task.
     """
-    n = size_of(spark, sf, "orders")
+    n = size_of(spark, sf, "lineitem")  # every poll and every listed party has a line
     srv = ordered.number_rows(_patterns(spark, sf).select("l_orderkey", "pattern", "party_idx"),
                               [], ["pattern", "l_orderkey"], "survey_idx", n)
     names = F.array(*[F.lit(p) for p in PARTIES])
@@ -485,7 +485,7 @@ round(1 - (economy + large + CASE WHEN election_year >= 1998 THEN medium ELSE 0
  AS residual FROM w""")
 def election_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Votes per year, two parties merged, one absent before its founding, the rest as residual."""
-    wide = cells(spark, sf, F.year("day").alias("election_year")).withColumn(
+    wide = cells(spark, sf, F.year("day").cast("bigint").alias("election_year")).withColumn(
         "valid", row_sum(PARTIES))
     shares = wide.select(
         "election_year", F.col("valid").cast("bigint").alias("valid_votes"),

@@ -71,8 +71,8 @@ def weighted_trailing(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {CTE_SHARE}, w AS (SELECT t, party, s, CASE WHEN party = 'small'
  THEN (1 / (1 + exp(-0.1 * (t - 40)))) * (1 / (1 + exp(0.1 * (t - 130)))) ELSE 1.0 END AS w FROM share)
 SELECT t, party, round(w, 6) AS weight, round(w * ln(s) + (1 - w) * -10, 6) AS log_odds,
-round(0.6 * 0.2 + 0.4 * s, 6) AS mixed, round(0.6 * 0.2, 6) AS floor_share,
-round(0.6 * 0.2 + 0.4, 6) AS ceiling_share FROM w""")
+round(0.6 * 0.2 + 0.4 * s, 6) AS mixed, CAST(0.12 AS DOUBLE) AS floor_share,
+CAST(0.52 AS DOUBLE) AS ceiling_share FROM w""")
 def entry_exit_weight(spark: SparkSession, sf: str) -> DataFrame:
     """Presence weight of a party that comes and goes, blended log shares, loyal base mix."""
     always = (F.col("party") != "small").cast("int")

@@ -29,7 +29,8 @@ def cut_points(df: DataFrame, cols: list[str], n_rows: int,
     """Cut points, as text, of the order ``cols``; none where ``n_rows`` fits one bin.
 
     ``n_rows`` is an upper bound of the rows in ``df``, usually the row count of its table, which
-    Parquet answers from the footers. At most ``MAX_BINS * 40`` sampled keys reach the driver.
+    Parquet answers from the footers. The sample holds about 40 keys per bin; at most four times
+    as many reach the driver, should ``n_rows`` be too low.
     """
     bins = min(MAX_BINS, math.ceil(n_rows / max(1, rows_per_bin)))
     if bins <= 1:
