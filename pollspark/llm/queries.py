@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pollspark.llm import byte_bpe, wavelet
+from pollspark.llm import byte_bpe, exact_dedup, mixing, wavelet
 from pollspark.llm.common import documents
 
 
@@ -24,8 +24,26 @@ def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(shards).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP9_SQL = r"""
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
+FROM (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n_chars DESC, doc_id) AS keep_id,
+             count(*) OVER (PARTITION BY norm) AS group_size
+      FROM (SELECT doc_id, length(coalesce(text, '')) AS n_chars,
+                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents))
+"""
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op7_mix": op7_mix,
     "op8_token_shards": op8_token_shards,
+    "op9_exact_dedup": op9_exact_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}
