@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pollspark.llm import byte_bpe, exact_dedup, mixing, wavelet
+from pollspark.llm import byte_bpe, exact_dedup, langid, mixing, wavelet
 from pollspark.llm.common import documents
 
 
@@ -32,6 +32,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+LEARNED = "crc32(cast(cast(doc_id AS string) AS binary)) % 4 <> 2"
+
+
+def language_model(docs: DataFrame) -> langid.Model | None:
+    return langid.learn(docs, LEARNED)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return langid.score(docs, language_model(docs)).withColumn("held_out", ~F.coalesce(F.expr(LEARNED), F.lit(True))) \
+        .select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 OP9_SQL = r"""
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
 FROM (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n_chars DESC, doc_id) AS keep_id,
@@ -45,5 +58,6 @@ QUERIES = {
     "op7_mix": op7_mix,
     "op8_token_shards": op8_token_shards,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {"op9_exact_dedup": OP9_SQL}
