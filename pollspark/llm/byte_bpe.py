@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pollspark.llm.common import slices
-from pollspark.llm.pretokens import ChunkEncoder
+from pollspark.llm.pretokens import ByWords, ChunkEncoder
 
 WORDS_PER_QUERY = 20_000
 BYTES_PER_QUERY = 400_000
@@ -204,7 +204,7 @@ def _encoder(ranks: dict[bytes, int], pattern: str) -> tuple[Merger, ChunkEncode
     if key not in _ENCODERS:
         _ENCODERS.clear()
         merger = Merger(ranks)
-        _ENCODERS[key] = merger, ChunkEncoder(pattern, merger.encode_words)
+        _ENCODERS[key] = merger, ChunkEncoder(ByWords(pattern, merger.encode_words))
     return _ENCODERS[key]
 
 

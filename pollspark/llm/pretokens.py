@@ -21,36 +21,42 @@ CHUNK = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 class ChunkEncoder:
     """Texts to token ids by a memory of chunks.
 
-    ``encode_words`` maps a list of distinct pattern matches to little-endian 32-bit ids, one ``bytes``
-    each. ``limit`` bounds the entries that stay in memory between batches; at the limit the memory
-    starts anew, which costs time and changes no result.
+    ``encode_chunks`` maps a list of distinct chunks to little-endian 32-bit ids, one ``bytes`` each.
+    ``limit`` bounds the chunks that stay in memory between batches; at the limit the memory starts anew,
+    which costs time and changes no result.
     """
 
+    def __init__(self, encode_chunks: Callable[[list[str]], Iterable[bytes]], limit: int = 500_000):
+        self.encode_chunks = encode_chunks
+        self.limit = limit
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.limit:
+            self.known = {}
+        known = self.known
+        cut = [CHUNK.findall(t) for t in texts]
+        new = [c for c in set().union(*cut) if c not in known]
+        if new:
+            known.update(zip(new, self.encode_chunks(new)))
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+
+
+class ByWords:
+    """Encodes chunks by their pattern matches, with a bounded memory of matches."""
+
     def __init__(self, pattern: str, encode_words: Callable[[list[str]], Iterable[bytes]], limit: int = 500_000):
         self.findall = regex.compile(pattern).findall
         self.encode_words = encode_words
         self.limit = limit
-        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > self.limit:
-            self.chunks = {}
+    def __call__(self, chunks: list[str]) -> list[bytes]:
         if len(self.words) > self.limit:
             self.words = {}
-        cut = [CHUNK.findall(t) for t in texts]
-        known = self.chunks
-        new = set()
-        for chunks in cut:
-            new.update(chunks)
-        new = [c for c in new if c not in known]
-        if new:
-            matched = [self.findall(c) for c in new]
-            words = self.words
-            missing = list({w for ws in matched for w in ws if w not in words})
-            if missing:
-                words.update(zip(missing, self.encode_words(missing)))
-            for chunk, ws in zip(new, matched):
-                known[chunk] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        get = known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
+        words = self.words
+        matched = [self.findall(c) for c in chunks]
+        missing = list({w for ws in matched for w in ws if w not in words})
+        if missing:
+            words.update(zip(missing, self.encode_words(missing)))
+        return [words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws]) for ws in matched]

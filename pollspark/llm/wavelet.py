@@ -29,14 +29,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from tokenizers import Tokenizer
 
 from pollspark.llm.common import slices, stored
-from pollspark.llm.pretokens import ChunkEncoder
+from pollspark.llm.pretokens import WHITE_SPACE, ChunkEncoder
 
 MAGIC = b"WVM1"
 BLOCK = 512
 SHARD_TOKENS = 2_000_000
-# The split pattern of byte-level tokenizer files that do not state one (fixed value).
-BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
 
 class WaveletMatrix:
     """Bit-planes of a sequence of ids with rank and select."""
@@ -146,29 +143,62 @@ class WaveletMatrix:
         return ids
 
 
-_TOKENIZERS: dict[str, tuple] = {}
+class Encoder:
+    """Texts to little-endian 32-bit ids by the tokenizers library.
 
+    With a byte-level file, distinct chunks are encoded together as one text, since cutting and joining at
+    chunks changes no match; the ids of a chunk are those that spell its bytes.
+    """
 
-def _encoder(spec: str):
-    """(texts to little-endian 32-bit ids, bits of an id) for a tokenizer file's content, kept in this Python worker."""
-    if spec not in _TOKENIZERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _TOKENIZERS.clear()
-        tokenizer, parts = Tokenizer.from_str(spec), json.loads(spec)
-        special = [t["content"] for t in parts.get("added_tokens") or []]
+    def __init__(self, spec: str):
+        self.tokenizer, parts = Tokenizer.from_str(spec), json.loads(spec)
+        vocabulary = self.tokenizer.get_vocab()
+        self.bits = max(1, max(vocabulary.values()).bit_length())
+        self.spelled = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.spelled[i] = len(token)  # byte-level files write each byte as one character
+        self.special = [t["content"] for t in parts.get("added_tokens") or []]
         pre = parts.get("pre_tokenizer") or {}
-        # Only byte-level files without normaliser and prefix space encode chunks of a text independently.
-        whole = bool(parts.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True))
-        by_library = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        chunked = ChunkEncoder(BYTE_LEVEL, by_library)
-
-        def encode(texts: list[str]) -> list[bytes]:
-            alone = [whole or any(s in t for s in special) for t in texts]
-            found = iter(chunked.encode([t for t, a in zip(texts, alone) if not a]))
-            return [by_library([t])[0] if a else next(found) for t, a in zip(texts, alone)]
-
-        _TOKENIZERS[spec] = encode, max(1, (tokenizer.get_vocab_size() - 1).bit_length())
-    return _TOKENIZERS[spec]
+        # Only byte-level files without normaliser and prefix space encode the chunks of a text independently.
+        self.whole = bool(parts.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True))
+        self.chunked = ChunkEncoder(self._encode_chunks)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        # Chunks that begin with a blank and end without one keep their borders in a row.
+        joined = [i for i, c in enumerate(chunks) if c[0] in WHITE_SPACE and c[-1] not in WHITE_SPACE]
+        out = [b""] * len(chunks)
+        alone = sorted(set(range(len(chunks))).difference(joined))
+        for i, ids in zip(alone, self._ids([chunks[i] for i in alone])):
+            out[i] = ids.tobytes()
+        for first in range(0, len(joined), 4096):
+            part = joined[first:first + 4096]
+            ids = self._ids(["".join([chunks[i] for i in part])])[0]
+            ends = np.cumsum([len(chunks[i].encode()) for i in part])
+            cuts = 4 * (np.searchsorted(np.cumsum(self.spelled[ids]), ends) + 1)
+            data = ids.tobytes()
+            for i, s, e in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist()):
+                out[i] = data[s:e]
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        alone = [self.whole or any(s in t for s in self.special) for t in texts]
+        found = iter(self.chunked.encode([t for t, a in zip(texts, alone) if not a]))
+        return [self._ids([t])[0].tobytes() if a else next(found) for t, a in zip(texts, alone)]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(spec: str) -> Encoder:
+    """Kept in this Python worker for the tasks that follow."""
+    if spec not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _ENCODERS.clear()
+        _ENCODERS[spec] = Encoder(spec)
+    return _ENCODERS[spec]
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, *, id_col: str = "doc_id", text_col: str = "text",
@@ -179,8 +209,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, *, id_col: s
     kind = docs.schema[id_col].dataType.simpleString()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bits = _encoder(spec.value)
-        bits = max(bits, int(end_id).bit_length())
+        encoder = _encoder(spec.value)
+        bits = max(encoder.bits, int(end_id).bit_length())
         part, shard = TaskContext.get().partitionId(), 0
         ids, doc_ids, held = [], [], 0
 
@@ -193,7 +223,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, *, id_col: s
 
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, limit=1 << 20):
-            ids += [x + end for x in encode(batch.column("text").to_pylist())]
+            ids += [x + end for x in encoder.encode(batch.column("text").to_pylist())]
             doc_ids.append(batch.column("id"))
             held += sum(len(x) // 4 for x in ids[-batch.num_rows:])
             if held >= shard_tokens:
@@ -218,17 +248,20 @@ def read_shards(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                base, doc_ids, file = (batch.column(c)[at] for c in ("base", "doc_ids", "file"))
+                part, shard, doc_ids, file = (batch.column(c)[at] for c in ("part", "shard", "doc_ids", "file"))
                 matrix = WaveletMatrix.from_bytes(file.as_py())
                 ids, lengths = matrix.all().astype("<u4"), matrix.lengths.astype(np.int64)
                 ends = np.cumsum(lengths)
                 cut = [ids[e - k:e].tobytes() for e, k in zip(ends, lengths)]
                 yield pa.RecordBatch.from_pydict({
-                    "id": doc_ids.values, "start": pa.array(ends - lengths + base.as_py()), "n_tokens": pa.array(lengths),
+                    "part": pa.array([part.as_py()] * len(cut), pa.int32()), "shard": pa.array([shard.as_py()] * len(cut), pa.int32()),
+                    "id": doc_ids.values, "inside": pa.array(ends - lengths), "n_tokens": pa.array(lengths),
                     "ids_crc32": pa.array([zlib.crc32(x) for x in cut], pa.int64()), "ids": pa.array(cut, pa.binary())})
 
-    # One row per shard, so this window and the join's right side are as small as the list of files.
+    found = shards.select("part", "shard", "doc_ids", "file").mapInArrow(
+        rows, f"part int, shard int, id {kind}, inside long, n_tokens long, ids_crc32 long, ids binary")
+    # One row per shard, so this window is as small as the list of files.
     before = W.orderBy("part", "shard").rowsBetween(W.unboundedPreceding, -1)
     bases = shards.select("part", "shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    return shards.select("part", "shard", "doc_ids", "file").join(bases, ["part", "shard"]).select("base", "doc_ids", "file").mapInArrow(
-        rows, f"id {kind}, start long, n_tokens long, ids_crc32 long, ids binary").withColumnRenamed("id", id_col)
+    return found.join(bases, ["part", "shard"]).select(
+        F.col("id").alias(id_col), (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "ids")
