@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pollspark.llm import byte_bpe, exact_dedup, langid, mixing, simhash, wavelet
+from pollspark.llm import byte_bpe, exact_dedup, langid, mixing, simhash, substring, wavelet
 from pollspark.llm.common import documents
 
 
@@ -29,6 +29,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir), 35)
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -61,6 +65,7 @@ FROM (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
+    "op3_substring_dedup": op3_substring_dedup,
     "op7_mix": op7_mix,
     "op8_token_shards": op8_token_shards,
     "op9_exact_dedup": op9_exact_dedup,
