@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pollspark.llm import byte_bpe, exact_dedup, langid, mixing, simhash, substring, wavelet
+from pollspark.llm import byte_bpe, exact_dedup, hnsw, langid, mixing, simhash, substring, wavelet
 from pollspark.llm.common import documents
 
 
@@ -33,6 +33,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir), 35)
 
 
+def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hnsw.search(hnsw.build_index(rows, 20), rows.where("vec_id % 20 = 0"), 20)
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
     "op3_substring_dedup": op3_substring_dedup,
+    "op6_hnsw": op6_hnsw,
     "op7_mix": op7_mix,
     "op8_token_shards": op8_token_shards,
     "op9_exact_dedup": op9_exact_dedup,

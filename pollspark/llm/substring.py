@@ -55,7 +55,7 @@ def gram_hashes(words: np.ndarray, length: int) -> np.ndarray:
         if bit:
             n = len(power) - step
             power = power[:n] * factor + power[step:step + n]
-            factor = factor * factor
+            factor = np.uint64(int(factor) ** 2 % (1 << 64))
             step *= 2
     return _mixed(out)
 
