@@ -180,8 +180,9 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, width: int = WIDTH,
     asked = queries.where(usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<float>").alias("vector")) \
         .withColumn("dim", F.size("vector"))
     blocks = asked.groupBy("dim").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    shards = index.select("dim", "shard")
-    asked = asked.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).drop("blocks").join(shards, "dim")
+    shards = index.groupBy("dim").agg(F.max("shard").alias("last"))
+    asked = asked.join(blocks, "dim").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).join(shards, "dim") \
+        .select("dim", F.explode(F.sequence(F.lit(0), "last")).alias("shard"), "block", "query_id", "vector")
     copies = index.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))).drop("blocks")
 
     def meet(shard: pa.Table, asking: pa.Table) -> pa.Table:
