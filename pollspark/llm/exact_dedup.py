@@ -145,3 +145,13 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
         (single | (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("keep_chars")) & (F.col("copy") == 1))).alias("kept"),
         F.col("sha").alias("text_sha256"), "n_chars")
+
+
+def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns."""
+    found = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept")
+    stay = found.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_chars"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.withColumn("_sha", F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256)).withColumn("_chars", F.length(text))
+    met = own.join(stay, (own["_sha"] == stay["_sha"]) & (own["_chars"] == stay["_chars"]) & own[id_col].eqNullSafe(stay["_id"]), "left_semi")
+    return met.dropDuplicates([id_col, "_sha", "_chars"]).select(*docs.columns)

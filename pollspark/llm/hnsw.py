@@ -28,7 +28,7 @@ from pollspark.llm.common import stored
 SHARD = 8192
 LINKS = 16
 CANDIDATES = 64
-WIDTH = 96
+WIDTH = 128
 QUERY_BLOCK = 2048
 
 

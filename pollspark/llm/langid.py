@@ -199,6 +199,8 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
     characters at most, so it is comparable between texts of any length.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    columns = list(dict.fromkeys([id_col, *keep]))
+    inner = [f"c{i}" for i in range(len(columns))]  # own names, so that no column of the table can clash
     names = ["lang_pred", "score", "entropy", "rejected"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,9 +219,17 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
                 for i, b in zip(some, best):
                     pred[i] = known.languages[b]
             found = [pa.array(pred), pa.array(sure), pa.array(entropy, from_pandas=True), pa.array(bad)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in batch.schema.names if c != "text"] + found,
-                                             [c for c in batch.schema.names if c != "text"] + names)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in inner] + found, inner + names)
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [id_col, *keep]]
-    chosen = docs.select(id_col, *keep, F.col(text_col).alias("text"))
-    return chosen.mapInArrow(rows, ", ".join([*fields, "lang_pred string, score double, entropy double, rejected boolean"]))
+    fields = [f"{i} {docs.schema[c].dataType.simpleString()}" for i, c in zip(inner, columns)]
+    chosen = docs.select(*[F.col(c).alias(i) for i, c in zip(inner, columns)], F.col(text_col).alias("text"))
+    found = chosen.mapInArrow(rows, ", ".join([*fields, "lang_pred string, score double, entropy double, rejected boolean"]))
+    return found.toDF(*columns, *names)
+
+
+def accepted(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with their columns."""
+    found = score(docs, model, id_col=id_col, text_col=text_col, keep=docs.columns)
+    first = list(dict.fromkeys([id_col, *docs.columns]))
+    inner = found.toDF(*[f"c{i}" for i in range(len(first))], "lang_pred", "score", "entropy", "rejected")
+    return inner.where("NOT rejected").select(*[F.col(f"c{first.index(c)}").alias(c) for c in docs.columns])

@@ -149,3 +149,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = 3, seed: i
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = named.select("fp", "root").join(names, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that name their component (least id, then least text hash), with their columns."""
+    pair = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    found = near_duplicates(docs.select(pair.alias("pair"), F.col(text_col).alias("text")), id_col="pair")
+    stay = found.where(F.col("pair").eqNullSafe(F.col("component_id"))).select(F.col("pair.id").alias("_id"), F.col("pair.hash").alias("_hash"))
+    own = docs.withColumn("_hash", F.xxhash64(text_col))
+    met = own.join(stay, (own["_hash"] == stay["_hash"]) & own[id_col].eqNullSafe(stay["_id"]), "left_semi")
+    return met.dropDuplicates([id_col, "_hash"]).select(*docs.columns)
