@@ -8,6 +8,10 @@ pairs with 5 or more are kept and their bits compared. Equal fingerprints are on
 cut into blocks that meet pairwise, each meeting in bounded memory, and a meeting reports one link per
 newly connected fingerprint instead of all its pairs. Components are then found on the links.
 
+``verified_groups`` is the form for cleaning a corpus: fingerprints of single words at up to 6 different bits
+only nominate pairs, and a pair counts if the texts' sets of five-word shingles have a Jaccard similarity of
+0.8 or more. There each fingerprint nominates its few nearest of every meeting.
+
 Results for unusual input: a text without words, empty or null has fingerprint zero and is linked like any
 other; fewer words than a shingle make one shingle; repeated rows share a component; null ids never
 name a component that has another id; an empty table gives an empty result; other columns are ignored.
@@ -15,6 +19,8 @@ name a component that has another id; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,16 +95,45 @@ def spanning_links(left: np.ndarray, right: np.ndarray | None, bits: int) -> lis
     return out
 
 
-def near_links(distinct: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints of a one-column frame (fp) that connect all pairs within ``bits`` (at most 3)."""
-    if bits > 3:
-        raise ValueError("3 of 4 bytes of a half are only certain up to 3 different bits")
+def nearest_links(left: np.ndarray, right: np.ndarray | None, bits: int, nearest: int) -> list[tuple[int, int]]:
+    """Pairs of each fingerprint with the ``nearest`` least different ones within ``bits`` on the other side."""
+    same = right is None
+    right = left if same else right
+    far = np.bitwise_count(left[:, None] ^ right[None, :]).astype(np.int8)
+    far[~linked(left, right, bits)] = 100
+    if same:
+        np.fill_diagonal(far, 100)
+    out = []
+    for matrix, own, other in ((far, left, right),) if same else ((far, left, right), (far.T, right, left)):
+        rows = np.flatnonzero((matrix < 100).any(1))
+        k = min(nearest, matrix.shape[1])
+        best = np.argpartition(matrix[rows], k - 1, axis=1)[:, :k]
+        good = np.take_along_axis(matrix[rows], best, 1) < 100
+        at, col = np.nonzero(good)
+        out += zip(own[rows[at]].tolist(), other[best[at, col]].tolist())
+    return out
+
+
+def byte_choices(bits: int) -> list[tuple[int, ...]]:
+    """Sets of byte positions of which any two fingerprints within ``bits`` share at least one set whole."""
+    if bits <= 3:  # 5 shared bytes put 3 into one half
+        return [tuple(4 * half + i for i in range(4) if i != omitted) for half in range(2) for omitted in range(4)]
+    return list(itertools.combinations(range(8), min(3, 8 - bits)))
+
+
+def near_links(distinct: DataFrame, bits: int = 3, block: int = BLOCK, nearest: int | None = None) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints of a one-column frame (fp) within ``bits`` (at most 7).
+
+    They connect all that such pairs connect; with ``nearest``, they are the pairs of every fingerprint with
+    that many of its nearest in each meeting.
+    """
     byte = [F.shiftrightunsigned("fp", 8 * i).bitwiseAND(255) for i in range(8)]
     keys = []
-    for half in range(2):
-        for omitted in range(4):
-            own = [byte[4 * half + i] for i in range(4) if i != omitted]
-            keys.append(F.lit((4 * half + omitted) << 24) + own[0] * 65536 + own[1] * 256 + own[2])
+    for k, choice in enumerate(byte_choices(bits)):
+        key = F.lit(k)
+        for i in choice:
+            key = key * 256 + byte[i]
+        keys.append(key.cast("long"))
     postings = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
     lists = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     cut = postings.join(lists, "key").withColumn("blocks", F.ceil(F.col("n") / block)) \
@@ -106,13 +141,15 @@ def near_links(distinct: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFr
     meet = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
 
+    links_of = spanning_links if nearest is None else functools.partial(nearest_links, nearest=nearest)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(meeting: tuple, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
             own, fp = (np.concatenate(x) for x in zip(*parts))
             if meeting[1] == meeting[2]:
-                return spanning_links(fp, None, bits) if len(fp) > 1 else []
+                return links_of(fp, None, bits) if len(fp) > 1 else []
             first = own == meeting[1]
-            return spanning_links(fp[first], fp[~first], bits)
+            return links_of(fp[first], fp[~first], bits)
 
         current, parts = None, []
         for batch in batches:  # sorted by meeting
@@ -151,11 +188,54 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = 3, seed: i
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their component (least id, then least text hash), with their columns."""
-    pair = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
-    found = near_duplicates(docs.select(pair.alias("pair"), F.col(text_col).alias("text")), id_col="pair")
-    stay = found.where(F.col("pair").eqNullSafe(F.col("component_id"))).select(F.col("pair.id").alias("_id"), F.col("pair.hash").alias("_hash"))
-    own = docs.withColumn("_hash", F.xxhash64(text_col))
-    met = own.join(stay, (own["_hash"] == stay["_hash"]) & own[id_col].eqNullSafe(stay["_id"]), "left_semi")
-    return met.dropDuplicates([id_col, "_hash"]).select(*docs.columns)
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(key, shingles) of (key, text): sorted 64-bit hashes of the distinct word shingles."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = []
+            for text in batch.column("text").to_pylist():
+                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] if words else []
+                sets.append(np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], ["key", "shingles"])
+
+    return texts.select("key", "text").mapInArrow(rows, "key long, shingles binary")
+
+
+def verified_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bits: int = 6, nearest: int = 4, text_col: str = "text") -> DataFrame:
+    """(key, root): text hashes that have a near-duplicate, other than the least of their group, with that least one."""
+    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    prints = stored(fingerprints(texts, shingle=1, id_col="key"), "simhash").withColumnRenamed("id", "key")
+    first = stored(prints.groupBy("fp").agg(F.min("key").alias("first")), "simhash-distinct")
+    links = near_links(first.select("fp"), bits, nearest=nearest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    named = lambda old, new: first.select(F.col("fp").alias(old), F.col("first").alias(new))
+    across = links.join(named("a", "x"), "a").join(named("b", "y"), "b").select("x", "y")
+    inside = prints.join(first, "fp").where("key <> first").select(F.col("key").alias("x"), F.col("first").alias("y"))
+    pairs = stored(across.union(inside).distinct(), "simhash-pairs")
+    wanted = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct()
+    sets = stored(shingle_sets(texts.join(wanted, "key"), shingle).dropDuplicates(["key"]), "simhash-sets")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for left, right in zip(batch.column("left"), batch.column("right")):
+                a, b = np.frombuffer(left.as_py(), np.uint64), np.frombuffer(right.as_py(), np.uint64)
+                shared = len(a) + len(b) - len(np.union1d(a, b))
+                keep.append(shared >= similarity * (len(a) + len(b) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("key").alias("x"), F.col("shingles").alias("left")), "x") \
+        .join(sets.select(F.col("key").alias("y"), F.col("shingles").alias("right")), "y")
+    edges = both.select(F.col("x").alias("a"), F.col("y").alias("b"), "left", "right").mapInArrow(verify, "a long, b long")
+    return components(edges).select(F.col("a").alias("key"), F.col("b").alias("root"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` for each group of verified near-duplicates, with its columns; of equal texts the least id."""
+    gone = verified_groups(docs, text_col=text_col, **options).select(F.col("key").alias("_gone"))
+    own = docs.withColumn("_key", F.xxhash64(text_col))
+    least = own.groupBy("_key").agg(F.min(F.col(id_col)).alias("_least")).select(F.col("_key").alias("_same"), "_least")
+    met = own.join(gone, own["_key"] == gone["_gone"], "left_anti")
+    met = met.join(least, (met["_key"] == least["_same"]) & met[id_col].eqNullSafe(least["_least"]), "left_semi")
+    return met.dropDuplicates(["_key"]).select(*docs.columns)
