@@ -8,8 +8,8 @@ pairs with 5 or more are kept and their bits compared. Equal fingerprints are on
 cut into blocks that meet pairwise, each meeting in bounded memory, and a meeting reports one link per
 newly connected fingerprint instead of all its pairs. Components are then found on the links.
 
-``verified_groups`` is the form for cleaning a corpus: fingerprints of single words at up to 6 different bits
-only nominate pairs, and a pair counts if the texts' sets of five-word shingles have a Jaccard similarity of
+``verified_groups`` is the form for cleaning a corpus: two fingerprints of single words at up to 6 different
+bits only nominate pairs, and a pair counts if the texts' sets of five-word shingles have a Jaccard similarity of
 0.8 or more. There each fingerprint nominates its few nearest of every meeting.
 
 Results for unusual input: a text without words, empty or null has fingerprint zero and is linked like any
@@ -203,16 +203,20 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("key", "text").mapInArrow(rows, "key long, shingles binary")
 
 
-def verified_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bits: int = 6, nearest: int = 4, text_col: str = "text") -> DataFrame:
+def verified_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bits: int = 6, nearest: int = 4,
+                    seeds: tuple[int, ...] = (42, 43), text_col: str = "text") -> DataFrame:
     """(key, root): text hashes that have a near-duplicate, other than the least of their group, with that least one."""
     texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    prints = stored(fingerprints(texts, shingle=1, id_col="key"), "simhash").withColumnRenamed("id", "key")
-    first = stored(prints.groupBy("fp").agg(F.min("key").alias("first")), "simhash-distinct")
-    links = near_links(first.select("fp"), bits, nearest=nearest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    named = lambda old, new: first.select(F.col("fp").alias(old), F.col("first").alias(new))
-    across = links.join(named("a", "x"), "a").join(named("b", "y"), "b").select("x", "y")
-    inside = prints.join(first, "fp").where("key <> first").select(F.col("key").alias("x"), F.col("first").alias("y"))
-    pairs = stored(across.union(inside).distinct(), "simhash-pairs")
+    found = None
+    for seed in seeds:  # independent fingerprints: what one of them holds too far apart, another nominates
+        prints = stored(fingerprints(texts, shingle=1, seed=seed, id_col="key"), "simhash").withColumnRenamed("id", "key")
+        first = stored(prints.groupBy("fp").agg(F.min("key").alias("first")), "simhash-distinct")
+        links = near_links(first.select("fp"), bits, nearest=nearest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        left, right = (first.select(F.col("fp").alias(old), F.col("first").alias(new)) for old, new in (("a", "x"), ("b", "y")))
+        across = links.join(left, "a").join(right, "b").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+        inside = prints.join(first, "fp").where("key <> first").select(F.col("key").alias("x"), F.col("first").alias("y"))
+        found = across.union(inside) if found is None else found.union(across).union(inside)
+    pairs = stored(found.distinct(), "simhash-pairs")
     wanted = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct()
     sets = stored(shingle_sets(texts.join(wanted, "key"), shingle).dropDuplicates(["key"]), "simhash-sets")
 
