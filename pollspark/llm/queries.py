@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pollspark.llm import byte_bpe, exact_dedup, hnsw, langid, mixing, simhash, substring, wavelet
+from pollspark.llm import byte_bpe, exact_dedup, hnsw, langid, line_dedup, mixing, secrets, simhash, substring, wavelet
 from pollspark.llm.common import documents
 
 
@@ -33,6 +33,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf_dir), 35)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir))
+
+
 def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return hnsw.search(hnsw.build_index(rows, 20), rows.where("vec_id % 20 = 0"), 20)
@@ -71,6 +79,8 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_secrets": op4_secrets,
+    "op5_line_dedup": op5_line_dedup,
     "op6_hnsw": op6_hnsw,
     "op7_mix": op7_mix,
     "op8_token_shards": op8_token_shards,
