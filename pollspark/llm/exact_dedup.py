@@ -150,8 +150,9 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
     found = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept")
-    stay = found.select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_chars"))
+    stay = found.select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), F.col("n_chars").alias("chars"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.withColumn("_sha", F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256)).withColumn("_chars", F.length(text))
-    met = own.join(stay, (own["_sha"] == stay["_sha"]) & (own["_chars"] == stay["_chars"]) & own[id_col].eqNullSafe(stay["_id"]), "left_semi")
-    return met.dropDuplicates([id_col, "_sha", "_chars"]).select(*docs.columns)
+    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("own_id"), F.length(text).alias("own_chars"),
+                      F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256).alias("own_sha"))
+    same = (F.col("own_sha") == F.col("sha")) & (F.col("own_chars") == F.col("chars")) & F.col("own_id").eqNullSafe(F.col("id"))
+    return own.join(stay, same, "left_semi").dropDuplicates(["own_id", "own_sha", "own_chars"]).select("doc.*")

@@ -113,7 +113,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Every row of ``docs`` as often as the mix takes it, with its columns."""
     found = mix(docs, id_col=id_col, text_col=text_col, **options)
-    times = found.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.sum("copies").cast("int").alias("_times")).where("_times > 0")
-    own = docs.withColumn("_own", F.xxhash64(text_col)).dropDuplicates([id_col, "_own"])
-    met = own.join(times, (own["_own"] == times["_hash"]) & own[id_col].eqNullSafe(times["_id"]))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    times = found.groupBy(F.col(id_col).alias("id"), "text_hash").agg(F.sum("copies").cast("int").alias("times")).where("times > 0")
+    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_hash"))
+    own = own.dropDuplicates(["own_id", "own_hash"])
+    met = own.join(times, (F.col("own_hash") == F.col("text_hash")) & F.col("own_id").eqNullSafe(F.col("id")))
+    return met.select("doc", F.explode(F.sequence(F.lit(1), "times"))).select("doc.*")

@@ -237,9 +237,9 @@ def verified_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of ``docs`` for each group of verified near-duplicates, with its columns; of equal texts the least id."""
-    gone = verified_groups(docs, text_col=text_col, **options).select(F.col("key").alias("_gone"))
-    own = docs.withColumn("_key", F.xxhash64(text_col))
-    least = own.groupBy("_key").agg(F.min(F.col(id_col)).alias("_least")).select(F.col("_key").alias("_same"), "_least")
-    met = own.join(gone, own["_key"] == gone["_gone"], "left_anti")
-    met = met.join(least, (met["_key"] == least["_same"]) & met[id_col].eqNullSafe(least["_least"]), "left_semi")
-    return met.dropDuplicates(["_key"]).select(*docs.columns)
+    gone = verified_groups(docs, text_col=text_col, **options).select(F.col("key").alias("gone"))
+    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_key"))
+    least = own.groupBy("own_key").agg(F.min("own_id").alias("least")).withColumnRenamed("own_key", "same_key")
+    met = own.join(gone, F.col("own_key") == F.col("gone"), "left_anti")
+    met = met.join(least, (F.col("own_key") == F.col("same_key")) & F.col("own_id").eqNullSafe(F.col("least")), "left_semi")
+    return met.dropDuplicates(["own_key"]).select("doc.*")

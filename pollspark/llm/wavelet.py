@@ -222,7 +222,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, *, id_col: s
             return pa.RecordBatch.from_pydict(rows)
 
         end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=min(1 << 20, shard_tokens)):
             ids += [x + end for x in encoder.encode(batch.column("text").to_pylist())]
             doc_ids.append(batch.column("id"))
             held += sum(len(x) // 4 for x in ids[-batch.num_rows:])
