@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pollspark.session import shared_dir
 
@@ -37,3 +37,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             total += size
         if len(sizes) > first:
             yield batch.slice(first)
+
+
+def rows_with(docs: DataFrame, stay: DataFrame, key: Column, id_col: str) -> DataFrame:
+    """(doc, and what ``stay`` adds): one row of ``docs``, as a struct, for each (key, id) of ``stay``.
+
+    ``stay`` holds ``key``, ``id`` and further columns. The join and the choice among repeated rows use the same
+    three plain columns, nulls spelled out, so texts are shuffled once.
+    """
+    own = docs.select(F.struct(*docs.columns).alias("doc"), key.alias("own_key"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("own_id"),
+                      F.col(id_col).isNull().alias("own_none"))
+    named = stay.withColumnsRenamed({"key": "own_key"}).withColumn("own_id", F.coalesce(F.col("id").cast("string"), F.lit(""))) \
+        .withColumn("own_none", F.col("id").isNull()).drop("id")
+    keys = ["own_key", "own_id", "own_none"]
+    return own.join(named.dropDuplicates(keys), keys).dropDuplicates(keys).drop(*keys)

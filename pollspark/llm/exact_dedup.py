@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pollspark.llm.common import stored
+from pollspark.llm.common import rows_with, stored
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -150,9 +150,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def kept_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns."""
     found = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept")
-    stay = found.select(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"), F.col("n_chars").alias("chars"))
+    stay = found.select(F.col(id_col).alias("id"), F.concat("text_sha256", F.lit(" "), "n_chars").alias("key"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("own_id"), F.length(text).alias("own_chars"),
-                      F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256).alias("own_sha"))
-    same = (F.col("own_sha") == F.col("sha")) & (F.col("own_chars") == F.col("chars")) & F.col("own_id").eqNullSafe(F.col("id"))
-    return own.join(stay, same, "left_semi").dropDuplicates(["own_id", "own_sha", "own_chars"]).select("doc.*")
+    key = F.concat(F.sha2(F.regexp_replace(text, BLANKS, "").cast("binary"), 256), F.lit(" "), F.length(text))
+    return rows_with(docs, stay, key, id_col).select("doc.*")

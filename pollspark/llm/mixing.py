@@ -22,7 +22,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from pollspark.llm.common import stored
+from pollspark.llm.common import rows_with, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 CELL_BITS = 12
@@ -113,8 +113,6 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Every row of ``docs`` as often as the mix takes it, with its columns."""
     found = mix(docs, id_col=id_col, text_col=text_col, **options)
-    times = found.groupBy(F.col(id_col).alias("id"), "text_hash").agg(F.sum("copies").cast("int").alias("times")).where("times > 0")
-    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_hash"))
-    own = own.dropDuplicates(["own_id", "own_hash"])
-    met = own.join(times, (F.col("own_hash") == F.col("text_hash")) & F.col("own_id").eqNullSafe(F.col("id")))
+    times = found.groupBy(F.col(id_col).alias("id"), F.col("text_hash").alias("key")).agg(F.sum("copies").cast("int").alias("times")).where("times > 0")
+    met = rows_with(docs, times, F.xxhash64(text_col), id_col)
     return met.select("doc", F.explode(F.sequence(F.lit(1), "times"))).select("doc.*")

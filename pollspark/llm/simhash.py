@@ -8,8 +8,8 @@ pairs with 5 or more are kept and their bits compared. Equal fingerprints are on
 cut into blocks that meet pairwise, each meeting in bounded memory, and a meeting reports one link per
 newly connected fingerprint instead of all its pairs. Components are then found on the links.
 
-``verified_groups`` is the form for cleaning a corpus: two fingerprints of single words at up to 6 different
-bits only nominate pairs, and a pair counts if the texts' sets of five-word shingles have a Jaccard similarity of
+``verified_groups`` is the form for cleaning a corpus: two fingerprints of two-word shingles at up to 6
+different bits only nominate pairs, and a pair counts if the texts' sets of five-word shingles have a Jaccard similarity of
 0.8 or more. There each fingerprint nominates its few nearest of every meeting.
 
 Results for unusual input: a text without words, empty or null has fingerprint zero and is linked like any
@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pollspark.llm.common import slices, stored
+from pollspark.llm.common import rows_with, slices, stored
 from pollspark.llm.components import components
 
 BLOCK = 2048
@@ -209,7 +209,7 @@ def verified_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
     texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     found = None
     for seed in seeds:  # independent fingerprints: what one of them holds too far apart, another nominates
-        prints = stored(fingerprints(texts, shingle=1, seed=seed, id_col="key"), "simhash").withColumnRenamed("id", "key")
+        prints = stored(fingerprints(texts, shingle=2, seed=seed, id_col="key"), "simhash").withColumnRenamed("id", "key")
         first = stored(prints.groupBy("fp").agg(F.min("key").alias("first")), "simhash-distinct")
         links = near_links(first.select("fp"), bits, nearest=nearest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         left, right = (first.select(F.col("fp").alias(old), F.col("first").alias(new)) for old, new in (("a", "x"), ("b", "y")))
@@ -237,9 +237,7 @@ def verified_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of ``docs`` for each group of verified near-duplicates, with its columns; of equal texts the least id."""
-    gone = verified_groups(docs, text_col=text_col, **options).select(F.col("key").alias("gone"))
-    own = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_key"))
-    least = own.groupBy("own_key").agg(F.min("own_id").alias("least")).withColumnRenamed("own_key", "same_key")
-    met = own.join(gone, F.col("own_key") == F.col("gone"), "left_anti")
-    met = met.join(least, (F.col("own_key") == F.col("same_key")) & F.col("own_id").eqNullSafe(F.col("least")), "left_semi")
-    return met.dropDuplicates(["own_key"]).select("doc.*")
+    gone = verified_groups(docs, text_col=text_col, **options).select("key")
+    ids = docs.select(F.xxhash64(text_col).alias("key"), F.col(id_col).alias("id"))
+    stay = ids.groupBy("key").agg(F.min("id").alias("id")).join(gone, "key", "left_anti")
+    return rows_with(docs, stay, F.xxhash64(text_col), id_col).select("doc.*")
