@@ -41,9 +41,10 @@ def cut_points(df: DataFrame, cols: list[str], n_rows: int,
     if every > 1:
         keys = keys.where(F.pmod(F.xxhash64(*cols), F.lit(every)) == 0)
     text = [F.col(c).cast("string").alias(f"s{i}") for i, c in enumerate(cols)]
-    sample = keys.distinct().orderBy(*cols).limit(4 * target).select(*text).collect()
-    step = max(1, len(sample) // bins)
-    return [tuple(r) for r in sample[step::step]][: bins - 1]
+    # The bound takes the keys of least hash, so it thins the sample evenly over the whole order.
+    sample = keys.distinct().orderBy(F.xxhash64(*cols)).limit(4 * target).orderBy(*cols).select(*text).collect()
+    at = sorted({i * len(sample) // bins for i in range(1, bins)} - {0})
+    return [tuple(sample[i]) for i in at]
 
 
 _TREE = 64

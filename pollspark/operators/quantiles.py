@@ -43,13 +43,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         return out.select(*keys, "n", *[
             F.get("__q", F.lit(i)).alias(name) for i, name in enumerate(names)], *extra)
     ranked = _by_rank(df, keys, value, probs, names, n_rows, rows_per_bin)
-    if not extra:
-        return ranked
-    side = df.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(*more)
+    # Groups without a known value have no rank; the groups themselves come from all rows.
+    aliases = [F.col(k).alias(f"__k_{k}") for k in keys]
+    side = df.groupBy(*aliases).agg(*more) if extra else df.select(*aliases).distinct()
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return ranked.join(side, same).select(*keys, "n", *names, *extra)
+    return side.join(ranked, same, "left").select(
+        *[F.col(f"__k_{k}").alias(k) for k in keys], F.coalesce("n", F.lit(0)).alias("n"), *names, *extra)
 
 
 def _largest_group(df: DataFrame, keys: list[str], value: str, one_task_rows: int) -> int:

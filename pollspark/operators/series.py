@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +38,13 @@ def path(df: DataFrame, keys: list[str], order: str, innovation: str, name: str)
 
 def weighted_trailing(df: DataFrame, keys: list[str], order: str, value: str,
                       weights: list[float], name: str) -> DataFrame:
-    """Weighted sum of the values before each row, the nearest one first; fewer at the start."""
-    before = F.reverse(F.collect_list(value).over(
-        _by(keys, order).rowsBetween(-len(weights), -1)))
-    used = F.slice(F.array(*[F.lit(w) for w in weights]), 1, F.size(before))
-    return df.withColumn(name, N.dot(before, used))
+    """Weighted sum of the values before each row, the nearest one first; fewer at the start.
+
+    Weights belong to positions: a missing value adds nothing and moves no other weight.
+    """
+    w = _by(keys, order)
+    terms = [F.coalesce(F.lag(value, i + 1).over(w) * F.lit(weight), F.lit(0.0)) for i, weight in enumerate(weights)]
+    return df.withColumn(name, reduce(lambda a, b: a + b, terms))
 
 
 def trailing_fit(df: DataFrame, keys: list[str], order: str, value: str, n: int) -> DataFrame:

@@ -132,9 +132,9 @@ def export_all(trend: DataFrame, polls: DataFrame, results: DataFrame, days: Dat
     """Write the three published documents."""
     daily = daily_rows(trend, days, last_t=last_t)
     header = timeseries_header(daily, results, parties, n_draws, diagnostics, generated_at)
-    write_document(header, daily, f"{out}/forecast_timeseries")
+    write_document(header, daily, f"{out}/timeseries")
     write_document(current_snapshot(trend, polls, as_of, generated_at), None,
-                   f"{out}/current_forecast")
+                   f"{out}/snapshot")
     rows = poll_rows(polls)
     write_document(polls_header(rows, generated_at), rows, f"{out}/polls", keep_nulls=True)
 

@@ -239,7 +239,7 @@ def test_published_documents(spark, trended, tmp_path):
     now = F.lit("2024-06-01T00:00:00+0000")
     publish.export_all(trended, polls, res, days, dims.MODEL_PARTIES, 200, (1, None), as_of(), now, str(tmp_path), last_t=3)
 
-    head = spark.read.schema(schemas.TIMESERIES_DOC).json(f"{tmp_path}/forecast_timeseries/header").first()
+    head = spark.read.schema(schemas.TIMESERIES_DOC).json(f"{tmp_path}/timeseries/header").first()
     keys = ["CDU_CSU", "SPD", "GRUENE", "FDP", "AfD", "LINKE", "Sonstige"]
     m = head.metadata
     assert (m.model, m.n_days, m.source_period_days, m.bsw_in_sonstige, m.n_draws) == ("spline", 42, 14, True, 200)
@@ -250,7 +250,7 @@ def test_published_documents(spark, trended, tmp_path):
     assert head.elections[0].date == "1998-01-20" and "AfD" not in head.elections[0].results
     assert head.elections[0].results["SPD"] == 0.41
 
-    rows = spark.read.schema(schemas.TIMESERIES_ROW).json(f"{tmp_path}/forecast_timeseries/rows")
+    rows = spark.read.schema(schemas.TIMESERIES_ROW).json(f"{tmp_path}/timeseries/rows")
     got = {r.date: r.parties for r in rows.collect()}
     assert len(got) == 42
     first = d(1998, 1, 1)
@@ -262,7 +262,7 @@ def test_published_documents(spark, trended, tmp_path):
             assert v == sorted(v) and all(round(x, 3) == x for x in v)
     assert got["1998-01-29"] == got["1998-01-28"] != got["1998-01-30"]  # closed last break
 
-    cur = spark.read.schema(schemas.CURRENT_DOC).json(f"{tmp_path}/current_forecast/header").first()
+    cur = spark.read.schema(schemas.CURRENT_DOC).json(f"{tmp_path}/snapshot/header").first()
     med = [p.median for p in cur.parties]
     assert len(med) == 7 and med == sorted(med, reverse=True) and all(0 <= x <= 1 for x in med)
     assert cur.date == "1998-01-29" and all(p.id and p.display and p.color[0] == "#" for p in cur.parties)

@@ -116,3 +116,33 @@ def test_extra_aggregates_on_both_ways(spark, sf):
             for limit in (10**6, 0))
     r = lambda x: sorted((y.party, y.n, round(y.m, 9), round(y["mean"], 9)) for y in x.collect())
     assert r(a) == r(b)
+
+
+def test_ranked_quantiles_keep_groups_without_values(spark):
+    from pyspark.sql import functions as F
+
+    from pollspark.operators.quantiles import exact_quantiles
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", None), (None, 5.0)], "g string, x double")
+    extra = {"rows": F.count(F.lit(1))}
+    small, large = (
+        sorted(map(str, exact_quantiles(df, ["g"], "x", [0.5], ["m"], 4, one_task_rows=limit, rows_per_bin=1, extra=extra).collect()))
+        for limit in (100, 0))
+    assert small == large and len(small) == 3
+
+
+def test_cut_points_leave_no_tail(spark):
+    from pollspark.operators.ordered import bin_of, cut_points
+
+    df = spark.range(20_000).selectExpr("id % 7919 AS x", "id")
+    cuts = cut_points(df, ["x", "id"], 20_000, 100)
+    counts = [r["count"] for r in df.groupBy(bin_of(df, ["x", "id"], cuts).alias("bin")).count().collect()]
+    assert len(counts) > 150 and max(counts) < 4 * sum(counts) / len(counts)
+
+
+def test_trailing_weights_stay_at_their_position(spark):
+    from pollspark.operators.series import weighted_trailing
+
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None), (4, 4.0)], "t long, x double").selectExpr("'k' AS k", "*")
+    got = {r.t: r.w for r in weighted_trailing(df, ["k"], "t", "x", [0.5, 0.3, 0.2], "w").collect()}
+    assert abs(got[4] - 0.8) < 1e-12
