@@ -161,7 +161,7 @@ class Encoder:
         pre = parts.get("pre_tokenizer") or {}
         # Only byte-level files without normaliser and prefix space encode the chunks of a text independently.
         self.whole = bool(parts.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True))
-        self.chunked = ChunkEncoder(self._encode_chunks)
+        self.chunked = ChunkEncoder(self._encode_chunks, limit=1_000_000)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
