@@ -6,6 +6,7 @@ from its nearest candidates, plus the links that others chose to it. Vectors are
 that makes all norms of a shard equal, so that the largest inner product is also the least distance. The
 graphs are stored as flat arrays in the shared folder. Every query searches every shard, in blocks of
 (shard, block of queries); shard results are merged per query after an exact rescoring in double precision.
+A batch of queries walks a shard's graph together, each along its own path.
 
 Equal vectors are one node with its k + 1 smallest ids, which is all that k results can need.
 
@@ -29,6 +30,8 @@ SHARD = 8192
 LINKS = 16
 CANDIDATES = 64
 WIDTH = 128
+STEP = 4  # nodes of a path that are opened at once
+BATCH = 256  # queries that walk together
 QUERY_BLOCK = 2048
 
 
@@ -55,44 +58,50 @@ class Graph:
             nodes = np.sort(rng.permutation(nodes)[:len(nodes) // 16])
         return cls(vectors, levels)
 
-    def search(self, query: np.ndarray, width: int) -> list[int]:
-        """Nodes nearest to the query among those that a search of this width meets, nearest first."""
+    def search(self, queries: np.ndarray, width: int) -> list[np.ndarray]:
+        """For each query the nodes nearest to it among those that a search of this width meets."""
         if not len(self.vectors):
-            return []
-        q = np.append(query, 0).astype(np.float32)
-        nodes = self.levels[-1][0][:1].tolist()
+            return [np.zeros(0, np.int32)] * len(queries)
+        q = np.append(queries, np.zeros((len(queries), 1)), 1).astype(np.float32)
+        nodes = np.full((len(q), 1), self.levels[-1][0][0], np.int32)
         for (_, links), place in zip(reversed(self.levels[1:]), reversed(self.place[1:])):
             nodes = self._layer(q, nodes, 16, links, place)
-        return self._layer(q, nodes, width, self.levels[0][1], self.place[0])
-
-    def _layer(self, q: np.ndarray, entries: list[int], width: int, links: np.ndarray, place: np.ndarray) -> list[int]:
-        seen = np.zeros(len(self.vectors) + 1, bool)  # the last place stands for "no neighbour"
-        seen[-1] = True
-        seen[entries] = True
-        near = (self.extended[entries] @ q).tolist()
-        best = list(zip(near, entries))
-        heapq.heapify(best)
-        front = [(-s, i) for s, i in best]
-        heapq.heapify(front)
-        while front:
-            s, i = heapq.heappop(front)
-            if len(best) >= width and -s < best[0][0]:
-                break
-            new = links[place[i]]
-            new = new[~seen[new]]
-            if not len(new):
-                continue
-            seen[new] = True
-            near = self.extended[new] @ q
-            for s, i in zip(near.tolist(), new.tolist()):
-                if len(best) < width:
-                    heapq.heappush(best, (s, i))
-                elif s > best[0][0]:
-                    heapq.heapreplace(best, (s, i))
-                else:
-                    continue
-                heapq.heappush(front, (-s, i))
-        return [i for _, i in sorted(best, reverse=True)]
+        return [found[found >= 0] for found in self._layer(q, nodes, width, self.levels[0][1], self.place[0])]
+
+    def _layer(self, q: np.ndarray, entries: np.ndarray, width: int, links: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """A row of up to ``width`` nodes per query, -1 where none: walks from ``entries`` until no better node is unopened."""
+        seen = np.zeros((len(q), len(self.vectors) + 1), bool)  # the last place stands for "no neighbour"
+        seen[:, -1] = True
+        nodes = np.full((len(q), width), -1, np.int32)
+        near = np.full((len(q), width), -np.inf, np.float32)
+        new, walking = np.sort(entries, 1), np.arange(len(q))
+        unopened = np.zeros((len(q), width), bool)
+        while True:
+            at = walking[:, None]
+            fresh = ~seen[at, new]
+            fresh[:, 1:] &= new[:, 1:] != new[:, :-1]
+            seen[at, new] = True
+            row, col = np.nonzero(fresh)
+            scores = np.full(new.shape, -np.inf, np.float32)
+            scores[row, col] = np.einsum("nd,nd->n", self.extended[new[row, col]], q[walking[row]])
+            new = np.where(fresh, new, -1)
+            all_near = np.concatenate([near[walking], scores], 1)
+            best = np.argpartition(-all_near, width - 1, axis=1)[:, :width]
+            near[walking] = np.take_along_axis(all_near, best, 1)
+            nodes[walking] = np.take_along_axis(np.concatenate([nodes[walking], new], 1), best, 1)
+            unopened[walking] = np.take_along_axis(np.concatenate([unopened[walking], fresh], 1), best, 1)
+
+            walking = np.flatnonzero(unopened.any(1))
+            if not len(walking):
+                return nodes
+            at = walking[:, None]
+            open_near = np.where(unopened[walking], near[walking], -np.inf)
+            step = min(STEP, width)
+            picked = np.argpartition(-open_near, step - 1, axis=1)[:, :step]
+            opened = np.where(unopened[at, picked], nodes[at, picked], -1)
+            unopened[at, picked] = False
+            beyond = np.where(opened[:, :, None] >= 0, links[place[opened]], -1)
+            new = np.sort(beyond.reshape(len(walking), -1), 1)
 
 
 def neighbours(x: np.ndarray, links: int = LINKS, candidates: int = CANDIDATES, block: int = 1024) -> np.ndarray:
@@ -148,6 +157,8 @@ def build_index(rows: DataFrame, k: int, *, shard: int = SHARD, id_col: str = "v
                       .withColumn("dim", F.size("vector")), "vectors")
     sizes = distinct.groupBy("dim").agg(F.ceil(F.count("*") / shard).alias("shards"))  # one row per length of vectors
     dealt = distinct.join(sizes, "dim").withColumn("shard", F.pmod("h1", "shards").cast("int"))
+    # As many partitions as shards: small inputs of long work, which adaptive execution would put into one task.
+    dealt = dealt.repartition(max(1, sizes.agg(F.sum("shards")).first()[0] or 1), "dim", "shard")
 
     def build(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by([("h1", "ascending"), ("h2", "ascending")])  # the same graph on every run
@@ -189,12 +200,16 @@ def search(index: DataFrame, queries: DataFrame, k: int, *, width: int = WIDTH,
         found: list[tuple] = []
         if shard.num_rows and asking.num_rows:
             graph, ids, ends = _load(shard)
-            for own, vector in zip(asking["query_id"].to_pylist(), asking["vector"]):
-                q = vector.values.to_numpy().astype(np.float64)
-                near = np.array(graph.search(q, max(width, 2 * k)))
-                scores = graph.vectors[near].astype(np.float64) @ q
-                hits = [(-s, i) for s, n in zip(scores.tolist(), near.tolist()) for i in ids[ends[n]:ends[n + 1]].tolist() if i != own]
-                found += [(own, i, -s) for s, i in heapq.nsmallest(k, hits)]
+            owners = asking["query_id"].to_pylist()
+            vectors = asking["vector"].combine_chunks().flatten().to_numpy().reshape(len(owners), -1)
+            for first in range(0, len(owners), BATCH):
+                batch = vectors[first:first + BATCH]
+                for own, q, near in zip(owners[first:], batch.astype(np.float64), graph.search(batch, max(width, 2 * k))):
+                    scores = graph.vectors[near].astype(np.float64) @ q
+                    # The query itself is at most one of the k + 1 best nodes.
+                    good = np.flatnonzero(scores >= np.partition(scores, -k - 1)[-k - 1]) if len(near) > k + 1 else range(len(near))
+                    hits = [(-scores[n], i) for n in good for i in ids[ends[near[n]]:ends[near[n] + 1]].tolist() if i != own]
+                    found += [(own, i, -s) for s, i in heapq.nsmallest(k, hits)]
         query_id, vec_id, score = zip(*found) if found else ((), (), ())
         return pa.table({"query_id": pa.array(query_id, pa.int64()), "vec_id": pa.array(vec_id, pa.int64()), "score": pa.array(score, pa.float64())})
 
