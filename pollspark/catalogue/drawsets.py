@@ -118,21 +118,21 @@ def current_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 _SQL_DOC = " || ',' || ".join(
     f"""'"{p}":{{' || """ + " || ',' || ".join(
-        f"""'"{k}":' || CAST(max(CASE WHEN party = '{p}' THEN {k} END) AS VARCHAR)"""
+        f"""'"{k}":' || coalesce(CAST(max(CASE WHEN party = '{p}' THEN {k} END) AS VARCHAR), 'null')"""
         for k in LEVEL_KEYS) + " || '}'" for p in sorted(PARTIES))
 
 
 @query(f"""WITH {CTE_DRAWS}, q0 AS ({sql_quantiles('t, party', 'draws')}),
 q AS (SELECT t, party, {_ROUND_Q} FROM q0),
-doc AS (SELECT t, '{{' || {_SQL_DOC} || '}}' AS parties FROM q GROUP BY t HAVING count(*) = 5),
+doc AS (SELECT t, '{{' || {_SQL_DOC} || '}}' AS parties FROM q GROUP BY t),
 d AS (SELECT CAST(unnest(generate_series(DATE '{ORIGIN}', DATE '{LAST_DAY}', INTERVAL 1 DAY)) AS DATE) AS day)
 SELECT strftime(day, '%Y-%m-%d') AS date, parties FROM d JOIN doc ON doc.t = {sql_t('day')}""")
 def nested_timeseries(spark: SparkSession, sf: str) -> DataFrame:
-    """One JSON object per day, nested by party; nesting happens once per period."""
+    """One JSON object per day, nested by party, nulls for a party without draws; nested once per period."""
     q = rounded(trend(spark, sf))
-    nested = reshape.nest_by_key(q, ["t"], "party", LEVEL_KEYS, "parties").where(
-        F.size("parties") == len(PARTIES))
-    docs = nested.select("t", F.to_json("parties").alias("parties"))
+    nested = reshape.nest_by_key(q, ["t"], "party", LEVEL_KEYS, "parties")
+    parties = reshape.complete_map(F.col("parties"), sorted(PARTIES), LEVEL_KEYS)
+    docs = nested.select("t", F.to_json(parties, {"ignoreNullFields": "false"}).alias("parties"))
     return joins.days_of_periods(day_series(spark, ORIGIN, LAST_DAY), docs, ORIGIN).select(
         iso("date").alias("date"), "parties")
 

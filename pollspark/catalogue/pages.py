@@ -6,16 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pollspark.catalogue.base import query, table
+from pollspark.functions.text import REFERENCES
 from pollspark.sources import pages as P
 
-_NAV = "regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1)"
+_NAV = "regexp_extract(html, '(?is)<nav[^>]*>(.*?)</nav>', 1)"
+_ANCHOR = P.ANCHOR.replace("'", "''")
+
+
+def _sql_unescaped(sql: str) -> str:
+    for name, character in REFERENCES.items():
+        sql = f"replace({sql}, '{name}', '{character.replace("'", "''")}')"
+    return sql
+
 _SQL_URL = """CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href
  WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href ELSE '?' END"""
 
 
-@query(f"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all({_NAV}, '(?s)<a\\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS href,
- unnest(regexp_extract_all({_NAV}, '(?s)<a\\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS label FROM pages)
-SELECT page_id, trim(label) AS label, {_SQL_URL} AS target, count(*) AS n FROM a GROUP BY 1, 2, 3""")
+@query(f"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all({_NAV}, '{_ANCHOR}', 1)) AS quoted,
+ unnest(regexp_extract_all({_NAV}, '{_ANCHOR}', 2)) AS inside FROM pages),
+b AS (SELECT page_id, url, {_sql_unescaped("trim(quoted, chr(34) || chr(39))")} AS href,
+ {_sql_unescaped("regexp_replace(inside, '<[^>]*>', '', 'g')")} AS label FROM a)
+SELECT page_id, trim(label) AS label, {_SQL_URL} AS target, count(*) AS n FROM b GROUP BY 1, 2, 3""")
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
     """Anchors of the navigation block with absolute targets."""
     return P.links(table(spark, sf, "pages"), "nav").groupBy("page_id", "label", "target").agg(

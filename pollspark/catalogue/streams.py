@@ -29,11 +29,11 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
             .option("pathGlobFilter", f"{name}.parquet").parquet(sf))
 
 
-@query("""SELECT sha256(text) AS uuid, min(doc_id) AS doc_id, arg_min(source, doc_id) AS pollster FROM documents GROUP BY 1""")
+@query("""SELECT coalesce(sha256(text), 'none') AS uuid, min(doc_id) AS doc_id, arg_min(source, doc_id) AS pollster FROM documents GROUP BY 1""")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents ingested as a file stream: only unseen ids are appended."""
+    """Documents ingested as a file stream: only unseen ids are appended; those without text share one id."""
     docs = _stream(spark, sf, "documents").select(
-        F.sha2("text", 256).alias("uuid"), "doc_id", F.col("source").alias("pollster"))
+        F.coalesce(F.sha2("text", 256), F.lit("none")).alias("uuid"), "doc_id", F.col("source").alias("pollster"))
     out = _workdir(spark)
     ingest.run(docs, out, "uuid", ["doc_id"])
     return ingest.read(spark, out, docs.schema)

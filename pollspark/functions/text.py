@@ -83,6 +83,17 @@ def safe_name(name: Column) -> Column:
     return F.replace(name, F.lit("/"), F.lit("_"))
 
 
+# Character references of HTML text; the ampersand comes last.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
+def unescaped(html: Column) -> Column:
+    """The frequent character references of HTML text as characters."""
+    for name, character in REFERENCES.items():
+        html = F.replace(html, F.lit(name), F.lit(character))
+    return html
+
+
 def absolute_url(base: Column, href: Column) -> Column:
     """Resolve ``href`` against ``base``: absolute, scheme-relative, root-relative, relative."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)

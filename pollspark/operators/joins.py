@@ -7,6 +7,8 @@ splits skewed partitions. Facts are aggregated to cells before a join wherever t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,20 +26,30 @@ def unseen(incoming: DataFrame, known: DataFrame, on: str) -> DataFrame:
     return incoming.join(known.select(on).distinct(), on, "left_anti")
 
 
+def same_keys(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key meets a null key; the key columns are those of ``rows``."""
+    theirs = per_key.withColumnsRenamed({k: f"__same_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__same_{k}")) for k in keys])
+    return rows.join(theirs, same, how).drop(*[f"__same_{k}" for k in keys])
+
+
 def salted_lookup(rows: DataFrame, per_key: DataFrame, keys: list[str], salt_by: list[str],
-                  n_rows: int, rows_per_salt: int = ROWS_PER_BIN) -> DataFrame:
+                  n_rows: int, rows_per_salt: int = ROWS_PER_BIN, nulls_meet: bool = False) -> DataFrame:
     """Inner join of rows with one row per key, for keys that may hold a large part of the rows.
 
     Every key is split by a hash of ``salt_by``; the lookup row is copied to exactly the (key,
     salt) pairs that occur, so the lookup side never outgrows the rows. A table of ``n_rows``
-    within one share is joined as it is.
+    within one share is joined as it is. Null keys are dropped as in any equi-join, or find the
+    lookup's null key where ``nulls_meet``.
     """
+    if not nulls_meet:
+        per_key = per_key.dropna(subset=keys)
     salts = min(MAX_BINS, -(-n_rows // max(1, rows_per_salt)))
     if salts <= 1:
-        return rows.join(per_key, keys)
+        return same_keys(rows, per_key, keys)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)))
-    spread = salted.select(*keys, "__salt").distinct().join(per_key, keys)
-    return salted.join(spread, [*keys, "__salt"]).drop("__salt")
+    spread = same_keys(salted.select(*keys, "__salt").distinct(), per_key, keys)
+    return same_keys(salted, spread, [*keys, "__salt"]).drop("__salt")
 
 
 def counts_before(facts: DataFrame, day: str, anchors: DataFrame, anchor: str, days: int,
@@ -129,25 +141,25 @@ def shared_units(pairs: DataFrame, source: str, unit: str) -> DataFrame:
         F.count_if(F.col("__s") > 1).alias("n_shared_units"))
 
 
-def source_components(pairs: DataFrame, source: str, unit: str, max_rounds: int = 50) -> DataFrame:
+def source_components(pairs: DataFrame, source: str, unit: str) -> DataFrame:
     """Component label per source: sources linked through shared units get one label.
 
     Effects of sources are identified only inside one component. Labels shrink to the smallest
-    name; every round is two aggregates over the distinct pairs, cut with a checkpoint.
+    name. A round takes the least label over the shared units, then the label of that label, so
+    long chains need few rounds; rounds end when no label changes. Each is cut with a checkpoint.
     """
     edges = checkpointed(pairs.select(source, unit).distinct())
     label = edges.groupBy(source).agg(F.min(source).alias("component"))
-    for _ in range(max_rounds):
+    while True:
         by_unit = edges.join(label, source).groupBy(unit).agg(F.min("component").alias("__c"))
-        nxt = checkpointed(edges.join(by_unit, unit).groupBy(source).agg(
-            F.min("__c").alias("component")))
-        changed = nxt.join(label.withColumnRenamed("component", "__old"), source).where(
-            F.col("component") != F.col("__old"))
-        done = changed.isEmpty()
-        label = nxt
-        if done:
+        near = edges.join(by_unit, unit).groupBy(source).agg(F.min("__c").alias("__c"))
+        of_label = label.select(F.col(source).alias("__c"), F.col("component").alias("__next"))
+        moved = near.join(of_label, "__c").join(label, source)
+        nxt = checkpointed(moved.select(source, F.least("__c", "__next").alias("component"),
+                                        (F.least("__c", "__next") != F.col("component")).alias("__moved")))
+        label = nxt.drop("__moved")
+        if nxt.where("__moved").isEmpty():
             return label
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
 def sorted_positions(keys: DataFrame, key: str, name: str = "position") -> DataFrame:

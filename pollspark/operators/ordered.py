@@ -37,7 +37,8 @@ def cut_points(df: DataFrame, cols: list[str], n_rows: int,
         return []
     target = bins * _SAMPLES_PER_BIN
     every = max(1, n_rows // target)
-    keys = df.select(*cols).dropna()
+    # Equal keys cannot be cut apart, so a null single column is no cut; in a wider key it is the least value.
+    keys = df.select(*cols).dropna() if len(cols) == 1 else df.select(*cols)
     if every > 1:
         keys = keys.where(F.pmod(F.xxhash64(*cols), F.lit(every)) == 0)
     text = [F.col(c).cast("string").alias(f"s{i}") for i, c in enumerate(cols)]
@@ -71,7 +72,7 @@ def bin_of(df: DataFrame, cols: list[str], cuts: list[tuple[str, ...]]) -> Colum
     width = -(-len(cuts) // _TREE)
     groups = [cuts[i:i + width] for i in range(0, len(cuts), width)]
 
-    plain = not any(isinstance(k, T.StringType) for k in kinds)
+    plain = not any(isinstance(k, T.StringType) for k in kinds) and all(v is not None for c in cuts for v in c)
     key_type = kinds[0] if len(cols) == 1 else T.StructType(
         [T.StructField(c, k) for c, k in zip(cols, kinds)])
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pollspark.operators.joins import salted_lookup
+from pollspark.operators.joins import salted_lookup, same_keys
 from pollspark.operators.ordered import ROWS_PER_BIN, bin_of, cut_points
 from pollspark.session import checkpointed
 
@@ -132,8 +132,8 @@ def median_and_mad(df: DataFrame, keys: list[str], value: str, salt_by: list[str
         med = checkpointed(med)  # one row per group, read three times
     dist = salted_lookup(
         df, med.select(*keys, "median"), keys, salt_by, n_rows,
-        limits.get("rows_per_bin", ROWS_PER_BIN),
+        limits.get("rows_per_bin", ROWS_PER_BIN), nulls_meet=True,
     ).withColumn("__d", F.abs(F.col(value) - F.col("median")))
     mad = exact_quantiles(dist, keys, "__d", [0.5], ["__mad"], n_rows, **limits)
-    return med.join(mad.select(*keys, "__mad"), keys).select(
+    return same_keys(med, mad.select(*keys, "__mad"), keys).select(
         *keys, "n", "median", (F.col("__mad") * 1.4826).alias("mad"), *(extra or {}))

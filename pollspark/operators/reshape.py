@@ -112,8 +112,11 @@ def reporting_pattern(df: DataFrame, poll: str, party: str, order: dict[str, int
 
 def nest_by_key(df: DataFrame, ids: list[str], key: str, fields: list[str],
                 name: str) -> DataFrame:
-    """Rows (id, key, fields) to one row per id with a map from key to struct."""
-    entry = F.struct(F.col(key).alias("key"), F.struct(*fields).alias("value"))
+    """Rows (id, key, fields) to one row per id with a map from key to struct.
+
+    A row without a key has no place in the map; its id still gets one.
+    """
+    entry = F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("key"), F.struct(*fields).alias("value")))
     return df.groupBy(*ids).agg(
         F.map_from_entries(F.array_sort(
             F.collect_list(entry),
@@ -121,6 +124,13 @@ def nest_by_key(df: DataFrame, ids: list[str], key: str, fields: list[str],
         )).alias(name))
 
 
+def complete_map(nested: Column, names: list[str], fields: list[str]) -> Column:
+    """A map of structs with exactly the keys ``names``, in order; what is missing has null fields."""
+    none = F.struct(*[F.lit(None).cast("double").alias(f) for f in fields])
+    keys = F.array(*[F.lit(n) for n in names])
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(F.try_element_at(nested, k), none)))
+
+
 def explode_shares(df: DataFrame, ids: list[str], shares: str) -> DataFrame:
     """Map of party to value into long rows."""
     return df.select(*ids, F.explode(shares).alias("party", "vote_share"))

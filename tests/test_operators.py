@@ -239,3 +239,30 @@ def test_era_index(spark):
     got = {r.party: (r.idx_start, r.idx_end, r.always_entered, r.never_exited)
            for r in joins.era_index(eras, cal, "idx").collect()}
     assert got == {"a": (2, None, 0, 1), "b": (None, 1, 1, 0)}
+
+
+def test_null_keys_meet(spark):
+    df = spark.createDataFrame([(None, 1.0, 1), (None, 3.0, 2), ("a", 5.0, 3)], "k string, v double, i int")
+    for limits in ({}, {"one_task_rows": 0, "rows_per_bin": 2}):
+        got = {r.k: (r.n, r.median) for r in quantiles.median_and_mad(df, ["k"], "v", ["i"], 3, **limits).collect()}
+        assert got == {None: (2, 2.0), "a": (1, 5.0)}
+
+
+def test_cut_points_among_null_orders(spark):
+    rows = spark.range(3_000).select(F.when(F.col("id") % 3 > 0, F.col("id").cast("int")).alias("a"), "id")
+    cuts = ordered.cut_points(rows, ["a", "id"], 3_000, 100)
+    sizes = [r["count"] for r in rows.groupBy(ordered.bin_of(rows, ["a", "id"], cuts).alias("b")).count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 300
+
+
+def test_components_of_a_long_chain(spark):
+    df = spark.createDataFrame([(f"s{i:03}", i + d) for i in range(120) for d in (0, 1)] + [("t", 999)], "s string, u int")
+    comp = {r.s: r.component for r in joins.source_components(df, "s", "u").collect()}
+    assert comp.pop("t") == "t" and set(comp.values()) == {"s000"}
+
+
+def test_nesting_skips_null_keys_and_fills_missing(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, None, 2.0)], "t int, k string, v double")
+    nested = reshape.nest_by_key(df, ["t"], "k", ["v"], "m")
+    full = nested.select(reshape.complete_map(F.col("m"), ["a", "b"], ["v"]).alias("m")).first().m
+    assert full["a"].v == 1.0 and full["b"].v is None
