@@ -8,7 +8,7 @@ pairs with 5 or more are kept and their bits compared. Equal fingerprints are on
 cut into blocks that meet pairwise, each meeting in bounded memory, and a meeting reports one link per
 newly connected fingerprint instead of all its pairs. Components are then found on the links.
 
-``verified_groups`` is the form for cleaning a corpus: two fingerprints of two-word shingles at up to 6
+``verified_groups`` is the form for cleaning a corpus: four fingerprints of two-word shingles at up to 6
 different bits only nominate pairs, and a pair counts if the texts' sets of five-word shingles have a Jaccard similarity of
 0.8 or more. There each fingerprint nominates its few nearest of every meeting.
 
@@ -35,30 +35,50 @@ BLOCK = 2048
 LOW = np.uint64(0x0101010101010101)
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
-    """Bits set in over half of the XXH64 values of the word shingles, A-Z in lower case."""
+def hashes(text: str, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 values of the word shingles, A-Z in lower case; fewer words are one shingle."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.array([digest(g, seed) for g in grams], "<u8")
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] if words else []
+    return np.array([digest(g, seed) for g in grams], "<u8")
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits set in over half of the values; zero without any."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 14):
-        ones += np.unpackbits(hashes[i:i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    for i in range(0, len(values), 1 << 14):
+        ones += np.unpackbits(values[i:i + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return int(np.packbits(2 * ones > len(values), bitorder="little").view("<u8")[0])
+
+
+def mixed(values: np.ndarray, way: int) -> np.ndarray:
+    """The values mixed anew for each ``way`` above 0, so that one hash of a shingle serves several fingerprints."""
+    if not way:
+        return values
+    x = values + np.uint64(way) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str, shingle: int = 3, seed: int = 42, way: int = 0) -> int:
+    """Bits set in over half of the XXH64 values of the word shingles, A-Z in lower case."""
+    return majority(mixed(hashes(text, shingle, seed), way))
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row, fp as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, ways: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp) of every row, fp as a signed 64-bit integer; with ``ways`` above 1 that many rows (id, fp, way) for each."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps = np.array([fingerprint(t or "", shingle, seed) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
+            found = [hashes(t or "", shingle, seed) for t in batch.column("text").to_pylist()]
+            for way in range(ways):
+                fps = np.array([majority(mixed(h, way)) for h in found], np.uint64)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64)), pa.array(np.full(len(fps), way, np.int32))], ["id", "fp", "way"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, f"id {kind}, fp long")
+    every = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, f"id {kind}, fp long, way int")
+    return every if ways > 1 else every.drop("way")
 
 
 def linked(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -204,12 +224,13 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def verified_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bits: int = 6, nearest: int = 4,
-                    seeds: tuple[int, ...] = (42, 43), text_col: str = "text") -> DataFrame:
+                    ways: int = 4, text_col: str = "text") -> DataFrame:
     """(key, root): text hashes that have a near-duplicate, other than the least of their group, with that least one."""
     texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    every = stored(fingerprints(texts, shingle=2, ways=ways, id_col="key"), "simhash").withColumnRenamed("id", "key")
     found = None
-    for seed in seeds:  # independent fingerprints: what one of them holds too far apart, another nominates
-        prints = stored(fingerprints(texts, shingle=2, seed=seed, id_col="key"), "simhash").withColumnRenamed("id", "key")
+    for way in range(ways):  # independent fingerprints: what one of them holds too far apart, another nominates
+        prints = every.where(F.col("way") == way).select("key", "fp")
         first = stored(prints.groupBy("fp").agg(F.min("key").alias("first")), "simhash-distinct")
         links = near_links(first.select("fp"), bits, nearest=nearest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         left, right = (first.select(F.col("fp").alias(old), F.col("first").alias(new)) for old, new in (("a", "x"), ("b", "y")))
