@@ -8,9 +8,8 @@ pairs with 5 or more are kept and their bits compared. Equal fingerprints are on
 cut into blocks that meet pairwise, each meeting in bounded memory, and a meeting reports one link per
 newly connected fingerprint instead of all its pairs. Components are then found on the links.
 
-``verified_groups`` is the form for cleaning a corpus: four fingerprints of two-word shingles at up to 6
-different bits only nominate pairs, and a pair counts if the texts' sets of five-word shingles have a Jaccard similarity of
-0.8 or more. There each fingerprint nominates its few nearest of every meeting.
+``one_of_each`` is the form for cleaning a corpus: it asks for texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more, which fingerprints only estimate, and takes them from the exact join in ``near_join``.
 
 Results for unusual input: a text without words, empty or null has fingerprint zero and is linked like any
 other; fewer words than a shingle make one shingle; repeated rows share a component; null ids never
@@ -19,7 +18,6 @@ name a component that has another id; an empty table gives an empty result; othe
 
 from __future__ import annotations
 
-import functools
 import itertools
 from collections.abc import Iterator
 
@@ -30,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pollspark.llm.common import rows_with, slices, stored
 from pollspark.llm.components import components
+from pollspark.llm.near_join import near_groups
 
 BLOCK = 2048
 LOW = np.uint64(0x0101010101010101)
@@ -51,34 +50,21 @@ def majority(values: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(values), bitorder="little").view("<u8")[0])
 
 
-def mixed(values: np.ndarray, way: int) -> np.ndarray:
-    """The values mixed anew for each ``way`` above 0, so that one hash of a shingle serves several fingerprints."""
-    if not way:
-        return values
-    x = values + np.uint64(way) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def fingerprint(text: str, shingle: int = 3, seed: int = 42, way: int = 0) -> int:
+def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     """Bits set in over half of the XXH64 values of the word shingles, A-Z in lower case."""
-    return majority(mixed(hashes(text, shingle, seed), way))
+    return majority(hashes(text, shingle, seed))
 
 
-def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, ways: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row, fp as a signed 64-bit integer; with ``ways`` above 1 that many rows (id, fp, way) for each."""
+def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fp) of every row, fp as a signed 64-bit integer."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [hashes(t or "", shingle, seed) for t in batch.column("text").to_pylist()]
-            for way in range(ways):
-                fps = np.array([majority(mixed(h, way)) for h in found], np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64)), pa.array(np.full(len(fps), way, np.int32))], ["id", "fp", "way"])
+            fps = np.array([fingerprint(t or "", shingle, seed) for t in batch.column("text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    every = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, f"id {kind}, fp long, way int")
-    return every if ways > 1 else every.drop("way")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, f"id {kind}, fp long")
 
 
 def linked(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -115,25 +101,6 @@ def spanning_links(left: np.ndarray, right: np.ndarray | None, bits: int) -> lis
     return out
 
 
-def nearest_links(left: np.ndarray, right: np.ndarray | None, bits: int, nearest: int) -> list[tuple[int, int]]:
-    """Pairs of each fingerprint with the ``nearest`` least different ones within ``bits`` on the other side."""
-    same = right is None
-    right = left if same else right
-    far = np.bitwise_count(left[:, None] ^ right[None, :]).astype(np.int8)
-    far[~linked(left, right, bits)] = 100
-    if same:
-        np.fill_diagonal(far, 100)
-    out = []
-    for matrix, own, other in ((far, left, right),) if same else ((far, left, right), (far.T, right, left)):
-        rows = np.flatnonzero((matrix < 100).any(1))
-        k = min(nearest, matrix.shape[1])
-        best = np.argpartition(matrix[rows], k - 1, axis=1)[:, :k]
-        good = np.take_along_axis(matrix[rows], best, 1) < 100
-        at, col = np.nonzero(good)
-        out += zip(own[rows[at]].tolist(), other[best[at, col]].tolist())
-    return out
-
-
 def byte_choices(bits: int) -> list[tuple[int, ...]]:
     """Sets of byte positions of which any two fingerprints within ``bits`` share at least one set whole."""
     if bits <= 3:  # 5 shared bytes put 3 into one half
@@ -141,11 +108,10 @@ def byte_choices(bits: int) -> list[tuple[int, ...]]:
     return list(itertools.combinations(range(8), min(3, 8 - bits)))
 
 
-def near_links(distinct: DataFrame, bits: int = 3, block: int = BLOCK, nearest: int | None = None) -> DataFrame:
+def near_links(distinct: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between the distinct fingerprints of a one-column frame (fp) within ``bits`` (at most 7).
 
-    They connect all that such pairs connect; with ``nearest``, they are the pairs of every fingerprint with
-    that many of its nearest in each meeting.
+    They connect all that such pairs connect.
     """
     byte = [F.shiftrightunsigned("fp", 8 * i).bitwiseAND(255) for i in range(8)]
     keys = []
@@ -161,15 +127,13 @@ def near_links(distinct: DataFrame, bits: int = 3, block: int = BLOCK, nearest:
     meet = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
 
-    links_of = spanning_links if nearest is None else functools.partial(nearest_links, nearest=nearest)
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(meeting: tuple, parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
             own, fp = (np.concatenate(x) for x in zip(*parts))
             if meeting[1] == meeting[2]:
-                return links_of(fp, None, bits) if len(fp) > 1 else []
+                return spanning_links(fp, None, bits) if len(fp) > 1 else []
             first = own == meeting[1]
-            return links_of(fp[first], fp[~first], bits)
+            return spanning_links(fp[first], fp[~first], bits)
 
         current, parts = None, []
         for batch in batches:  # sorted by meeting
@@ -208,57 +172,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = 3, seed: i
     return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(key, shingles) of (key, text): sorted 64-bit hashes of the distinct word shingles."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = []
-            for text in batch.column("text").to_pylist():
-                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] if words else []
-                sets.append(np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], ["key", "shingles"])
-
-    return texts.select("key", "text").mapInArrow(rows, "key long, shingles binary")
-
-
-def verified_groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bits: int = 6, nearest: int = 4,
-                    ways: int = 4, text_col: str = "text") -> DataFrame:
-    """(key, root): text hashes that have a near-duplicate, other than the least of their group, with that least one."""
-    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    every = stored(fingerprints(texts, shingle=2, ways=ways, id_col="key"), "simhash").withColumnRenamed("id", "key")
-    found = None
-    for way in range(ways):  # independent fingerprints: what one of them holds too far apart, another nominates
-        prints = every.where(F.col("way") == way).select("key", "fp")
-        first = stored(prints.groupBy("fp").agg(F.min("key").alias("first")), "simhash-distinct")
-        links = near_links(first.select("fp"), bits, nearest=nearest).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        left, right = (first.select(F.col("fp").alias(old), F.col("first").alias(new)) for old, new in (("a", "x"), ("b", "y")))
-        across = links.join(left, "a").join(right, "b").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
-        inside = prints.join(first, "fp").where("key <> first").select(F.col("key").alias("x"), F.col("first").alias("y"))
-        found = across.union(inside) if found is None else found.union(across).union(inside)
-    pairs = stored(found.distinct(), "simhash-pairs")
-    wanted = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct()
-    sets = stored(shingle_sets(texts.join(wanted, "key"), shingle).dropDuplicates(["key"]), "simhash-sets")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("left"), batch.column("right")):
-                a, b = np.frombuffer(left.as_py(), np.uint64), np.frombuffer(right.as_py(), np.uint64)
-                shared = len(a) + len(b) - len(np.union1d(a, b))
-                keep.append(shared >= similarity * (len(a) + len(b) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("key").alias("x"), F.col("shingles").alias("left")), "x") \
-        .join(sets.select(F.col("key").alias("y"), F.col("shingles").alias("right")), "y")
-    edges = both.select(F.col("x").alias("a"), F.col("y").alias("b"), "left", "right").mapInArrow(verify, "a long, b long")
-    return components(edges).select(F.col("a").alias("key"), F.col("b").alias("root"))
-
-
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of ``docs`` for each group of verified near-duplicates, with its columns; of equal texts the least id."""
-    gone = verified_groups(docs, text_col=text_col, **options).select("key")
+    gone = near_groups(docs, text_col=text_col, **options).select("key")
     ids = docs.select(F.xxhash64(text_col).alias("key"), F.col(id_col).alias("id"))
     stay = ids.groupBy("key").agg(F.min("id").alias("id")).join(gone, "key", "left_anti")
     return rows_with(docs, stay, F.xxhash64(text_col), id_col).select("doc.*")
