@@ -63,3 +63,13 @@ def test_lists_are_compared_whole_after_the_rounds(spark, monkeypatch):
     groups = brute_groups(texts)
     found = near_join.near_groups(docs, rounds=0).count()
     assert found == near_join.near_groups(docs).count() == len(texts) - len(set(groups)) == 14
+
+
+def test_texts_ruled_by_one_repeated_phrase(spark):
+    rng = random.Random(3)
+    texts = []
+    for g in range(8):  # the sets are the tails, while nearly all shingles are those of the phrase
+        phrase = " ".join(["the same phrase again and again"] * 400)
+        tail = words_of(rng, 60)
+        texts += [f"{phrase} {' '.join(words_of(rng, 30))}", f"{phrase} {' '.join(tail)}", f"{phrase} {' '.join(tail[:-1])} other"]
+    assert len(set(check(spark, texts))) == 16
