@@ -73,3 +73,21 @@ def test_texts_ruled_by_one_repeated_phrase(spark):
         tail = words_of(rng, 60)
         texts += [f"{phrase} {' '.join(words_of(rng, 30))}", f"{phrase} {' '.join(tail)}", f"{phrase} {' '.join(tail[:-1])} other"]
     assert len(set(check(spark, texts))) == 16
+
+
+def test_planted_edits_just_above_the_limit(spark):
+    rng = random.Random(4)
+    texts = []
+    for similarity in (0.8, 0.82, 0.85, 0.9):
+        for _ in range(8):
+            base = words_of(rng, 300)
+            n = int(300 * (1 - similarity) / (1 + similarity)) - 5  # words changed in one passage
+            at = rng.randrange(1, 290 - n)
+            block = base[:at] + words_of(rng, n) + base[at + n:]
+            tail = base + words_of(rng, int(296 * (1 / similarity - 1)))
+            scattered = [f"x{rng.random()}" if i % 60 == 30 and i < 300 * (1 - similarity) * 5 else w for i, w in enumerate(base)]
+            for edited in (block, tail, scattered):  # each pair has words of its own
+                own = {w: f"{w}-{len(texts)}" for w in base}
+                texts += [" ".join(own.get(w, w) for w in t) for t in (base, edited)]
+    groups = check(spark, texts)
+    assert len(texts) - len(set(groups)) > 85
