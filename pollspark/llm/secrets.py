@@ -25,6 +25,7 @@ CANDIDATE = r"[A-Za-z0-9_+/-]{16,}={0,2}"
 # Words that announce a secret, and keys of known forms (fixed values).
 ANNOUNCED = r"(?i)(api|access|secret|private|auth|pass|passwd|password|pwd|token|bearer|credential|key)[a-z_ -]{0,12}[\"']?\s*[:= ]\s*[\"']?$"
 KNOWN_FORM = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35})$"
+CONTEXT = 40  # characters before and after a candidate
 FREQUENT_WORDS = 300
 TRAIN_ROWS = 20_000
 FEATURES = ["length", "digits", "capitals", "vowels", "changes", "coverage", "path", "announced", "assigned", "known"]
@@ -35,14 +36,18 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.col("text")
     hit = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(text.rlike(CANDIDATE))
     cut = hit.select("id", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE).alias("between"))
-    lengths = F.zip_with("between", "found", lambda b, c: F.length(b) + F.coalesce(F.length(c), F.lit(0)))
-    cut = cut.withColumn("lengths", lengths)
-    each = cut.select("id", "between", "lengths", F.posexplode("found").alias("nth", "candidate"))
+    pieces = F.zip_with("between", "found", lambda b, c: F.concat(b, F.coalesce(c, F.lit(""))))
+    cut = cut.withColumn("pieces", pieces)
+    each = cut.select("id", "between", "pieces", F.posexplode("found").alias("nth", "candidate"))
     at = F.col("nth")
-    before = F.element_at("between", at + 1)
-    ends = F.aggregate(F.slice("lengths", F.lit(1), at), F.lit(0), lambda a, x: a + x)
-    return each.select("id", "nth", (ends + F.length(before) + 1).alias("start"), "candidate",
-                       F.right(before, F.lit(40)).alias("before"), F.left(F.coalesce(F.try_element_at("between", at + 2), F.lit("")), F.lit(40)).alias("after"))
+    ends = F.aggregate(F.slice("pieces", F.lit(1), at), F.lit(0), lambda a, x: a + F.length(x))
+    # Words around a candidate are those of the text, so pieces next to it count with their own candidates.
+    near = F.least(at, F.lit(CONTEXT))
+    between = F.element_at("between", at + 1)
+    before = F.concat(F.array_join(F.slice("pieces", at + 1 - near, near), ""), between)
+    after = F.array_join(F.slice("pieces", at + 2, F.lit(CONTEXT)), "")
+    return each.select("id", "nth", (ends + F.length(between) + 1).alias("start"), "candidate",
+                       F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"))
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", top: int = FREQUENT_WORDS) -> DataFrame:

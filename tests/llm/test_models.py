@@ -104,3 +104,15 @@ def test_secret_scan(spark):
     assert sum(r.is_secret for r in key) == 10 and len(key) == 30
     assert all(rows[r.doc_id][1][r.start - 1:r.start - 1 + r.length].isalnum() for r in found if r.doc_id is not None and r.doc_id < 30 and r.is_secret)
     assert secrets.scan(empty_documents(spark)).count() == 0
+
+
+def test_secrets_behind_long_names(spark):
+    value = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    texts = [f"export {n}={q}{value}{q} end" for n in ("AWS_SECRET_ACCESS_KEY", "DATABASE_PASSWORD", "STRIPE_SECRET_KEY") for q in ("", '"')]
+    docs = odd_documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    found = secrets.features(secrets.findings(docs), secrets.frequent_words(docs)).where(f"candidate = '{value}'").withColumn("label", secrets.by_form()).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        text = texts[r.id]
+        assert (r.announced, r.assigned, r.label) == (1, 1, 1)
+        assert r.before == text[:r.start - 1][-40:] and r.after == text[r.start - 1 + len(value):][:40]
