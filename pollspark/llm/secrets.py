@@ -1,10 +1,11 @@
 """Secret scan with a random forest that removes false positives, in DataFrame and Spark ML operations only.
 
-Candidates are runs of 16 or more letters, digits and the signs of keys. Their features: length; shares of
+Candidates are runs of 16 or more letters, digits and the signs of keys, and, right after an announcing word and
+``:`` or ``=``, any run of 4 or more characters that are not blank. Their features: length; shares of
 digits, capitals and vowels; changes between kinds of characters; coverage by the corpus's own frequent words;
 signs of a path; words in front that announce a secret. The forest is trained on labelled findings. A caller
 passes them as (id, candidate, label); without them findings are labelled by form: keys of a known form and
-announced values with digits are secrets, plain words, numbers and paths without announcement are not. At most
+announced values with digits are secrets; short words, and plain runs, numbers and paths without announcement are not. At most
 ``train_rows`` findings (those of least hash) train it; words and scores cover all documents.
 
 Results for unusual input: null and empty texts have no findings; if the labels hold one class only, the
@@ -21,9 +22,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pollspark.llm.common import stored
 
-CANDIDATE = r"[A-Za-z0-9_+/-]{16,}={0,2}"
+LONG_RUN = r"[A-Za-z0-9_+/-]{16,}={0,2}"
+# A value right after an announcing word and : or =, in quotes up to the next one. The first lookbehind is the cheap one.
+WORDS = r"api|access|secret|private|auth|pass|passwd|password|pwd|token|bearer|credential|key"
+VALUE_BEHIND = r"(?<=[:=\s\"'])(?<=(?i:" + WORDS + r")[A-Za-z_ -]{0,12}[\"']?\s{0,3}[:=]\s{0,3}"
+CANDIDATE = rf"{VALUE_BEHIND}[\"'])[^\s\"']{{4,}}|{VALUE_BEHIND})[^\s\"':=]\S{{3,}}|{LONG_RUN}"
 # Words that announce a secret, and keys of known forms (fixed values).
-ANNOUNCED = r"(?i)(api|access|secret|private|auth|pass|passwd|password|pwd|token|bearer|credential|key)[a-z_ -]{0,12}[\"']?\s*[:= ]\s*[\"']?$"
+ANNOUNCED = r"(?i)(" + WORDS + r")[a-z_ -]{0,12}[\"']?\s*[:= ]\s*[\"']?$"
 KNOWN_FORM = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,}|xox[abpr]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35})$"
 CONTEXT = 40  # characters before and after a candidate
 FREQUENT_WORDS = 300
@@ -77,7 +82,8 @@ def features(found: DataFrame, frequent: DataFrame) -> DataFrame:
 def by_form() -> Column:
     """Label of a finding by its form alone: 1, 0, or null where the form does not tell."""
     secret = (F.col("known") == 1) | ((F.col("announced") == 1) & (F.col("digits") > 0))
-    plain = (F.col("announced") == 0) & ((F.col("digits") == 0) | (F.col("digits") == 1) | (F.col("path") == 1))
+    word = F.col("candidate").rlike(r"^[A-Za-z]?[a-z]{0,14}[.,;!?)]*$")  # a short word of the language, as in "key: value"
+    plain = word | ((F.col("announced") == 0) & ((F.col("digits") == 0) | (F.col("digits") == 1) | (F.col("path") == 1)))
     return F.when(secret, 1.0).when(plain, 0.0)
 
 

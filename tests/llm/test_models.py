@@ -116,3 +116,15 @@ def test_secrets_behind_long_names(spark):
         text = texts[r.id]
         assert (r.announced, r.assigned, r.label) == (1, 1, 1)
         assert r.before == text[:r.start - 1][-40:] and r.after == text[r.start - 1 + len(value):][:40]
+
+
+def test_short_and_broken_secrets(spark):
+    values = {"password=Tr0ub4dor&3 x": "Tr0ub4dor&3", "pwd: hunter2x9": "hunter2x9", 'a "token": "ab12.cd34.ef56", b': "ab12.cd34.ef56", "DATABASE_PASSWORD=p@ss#1 y": "p@ss#1",
+              "key = wJalrXUtnFEMI/K7MDENG.x!1": "wJalrXUtnFEMI/K7MDENG.x!1", "the secret: nothing here": "nothing", "no announcement Tr0ub4dor&3": None}
+    docs = odd_documents(spark, [(i, t, "en", "a") for i, t in enumerate(values)])
+    found = secrets.features(secrets.findings(docs), secrets.frequent_words(docs)).withColumn("label", secrets.by_form()).collect()
+    for i, (text, value) in enumerate(values.items()):
+        own = [r for r in found if r.id == i and r.candidate == value]
+        assert len(own) == (value is not None)
+        for r in own:
+            assert text[r.start - 1:r.start - 1 + len(value)] == value and r.announced == 1 and r.label == (value != "nothing")
