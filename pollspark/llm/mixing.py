@@ -75,8 +75,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         F.least(F.floor(order / (1 + order) * float(1 << bits)), F.lit((1 << bits) - 1)))
     ranked = rows.join(plan, "source_key").withColumn("cell", cell.cast("long"))
 
-    # Refine the cell in which each source's running size passes the words it still needs.
-    cut = plan.select("source_key", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
+    # Refine the cell in which each source's running size passes the words it still needs. A source that needs
+    # certain copies only has no cut, so its rows are neither counted by cell nor ordered.
+    cut = plan.where("part > 0").select("source_key", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
     for level in range(1, LEVELS + 1):
         shift = CELL_BITS * (LEVELS - level)
         inside = ranked.select("source_key", "size", "cell").join(cut, "source_key") \

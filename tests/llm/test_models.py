@@ -128,3 +128,19 @@ def test_short_and_broken_secrets(spark):
         assert len(own) == (value is not None)
         for r in own:
             assert text[r.start - 1:r.start - 1 + len(value)] == value and r.announced == 1 and r.label == (value != "nothing")
+
+
+def test_mix_cuts_no_source_of_certain_copies_only(spark, monkeypatch):
+    docs = odd_documents(spark, [(i, "w " * (1 + i % 7), "en", "a" if i < 20 else "b") for i in range(400)])
+    cuts, whole = [], mixing.stored
+
+    def stored(df, name):
+        out = whole(df, name)
+        if name == "mix-cut":
+            cuts.extend(r.source_key for r in out.collect())
+        return out
+
+    monkeypatch.setattr(mixing, "stored", stored)
+    full = [r for r in mixing.mix(docs).collect() if r.target == 2 * r.source_size]
+    assert {r.doc_id for r in full} == set(range(20)) and all(r.copies == 2 for r in full)
+    assert set(cuts) == {"+b"}
