@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pollspark.llm.common import stored
 
 LONG_RUN = r"[A-Za-z0-9_+/-]{16,}={0,2}"
-# A value right after an announcing word and : or =, in quotes up to the next one. The first lookbehind is the cheap one.
+# A value right after an announcing word and : or =, in quotes up to the next one. The first two lookbehinds are cheap and implied.
 WORDS = r"api|access|secret|private|auth|pass|passwd|password|pwd|token|bearer|credential|key"
-VALUE_BEHIND = r"(?<=[:=\s\"'])(?<=(?i:" + WORDS + r")[A-Za-z_ -]{0,12}[\"']?\s{0,3}[:=]\s{0,3}"
+VALUE_BEHIND = r"(?<=[:=\s\"'])(?<=[:=]\s{0,3}[\"']?)(?<=(?i:" + WORDS + r")[A-Za-z_ -]{0,12}[\"']?\s{0,3}[:=]\s{0,3}"
 CANDIDATE = rf"{VALUE_BEHIND}[\"'])[^\s\"']{{4,}}|{VALUE_BEHIND})[^\s\"':=]\S{{3,}}|{LONG_RUN}"
 # Words that announce a secret, and keys of known forms (fixed values).
 ANNOUNCED = r"(?i)(" + WORDS + r")[a-z_ -]{0,12}[\"']?\s*[:= ]\s*[\"']?$"
