@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pollspark.llm import byte_bpe, conversations, exact_dedup, hnsw, langid, line_dedup, mixing, negatives, secrets, simhash, substring, wavelet
+from pollspark.llm import byte_bpe, conversations, exact_dedup, hnsw, langid, line_dedup, mixing, negatives, packing, secrets, simhash, substring, wavelet
 from pollspark.llm.common import documents
 
 
@@ -67,6 +67,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        spec = spark.sparkContext.broadcast(file.read())  # one vocabulary file
+    pattern = public_tokenizers.PATTERN
+    packed = packing.pack(documents(spark, sf_dir), lambda: packing.encoder(spec.value, pattern), 1)
+    return packed.select("doc_id", "start", "length", F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"), "sequence_id", "offset")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -88,8 +96,8 @@ FROM (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY
 
 OP12_SQL = """
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-    list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS x FROM embeddings
-  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))),
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
 s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
 p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
@@ -110,6 +118,7 @@ QUERIES = {
     "op8_token_shards": op8_token_shards,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_packing": op11_packing,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_conversations": op13_conversations,
 }
