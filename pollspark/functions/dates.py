@@ -73,3 +73,11 @@ def day_series(spark: SparkSession, start: str, end: str, name: str = "date") ->
     """One row per day, both ends included."""
     days = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
     return spark.range(1).select(F.explode(days).alias(name))
+
+
+def days_through(periods: DataFrame, t: str, origin: str, days: int = 14) -> DataFrame:
+    """One row per day (date) from ``origin`` to the end of the last period of a table; a one-row maximum ends it."""
+    last = periods.agg(F.max(t).alias("last"))
+    first = F.lit(origin).cast("date")
+    end = F.date_add(first, (F.col("last") * days - 1).cast("int"))
+    return last.where("last >= 1").select(F.explode(F.sequence(first, end)).alias("date"))

@@ -20,7 +20,8 @@ DIGITS = 3
 
 
 def _r3(c: Column | str) -> Column:
-    return F.bround(c, DIGITS)
+    """Three decimals; the last bits of a sum are rounded off first, so that they decide no tie."""
+    return F.bround(F.round(c, 9), DIGITS)
 
 
 def party_key(label: Column) -> Column:
@@ -128,12 +129,13 @@ def write_document(header: DataFrame, rows: DataFrame | None, path: str,
 
 def export_all(trend: DataFrame, polls: DataFrame, results: DataFrame, days: DataFrame,
                parties: list[str], n_draws: int, diagnostics: tuple[int | None, int | None],
-               as_of: Column, generated_at: Column, out: str, last_t: int | None = None) -> None:
+               as_of: Column, generated_at: Column, out: str, last_t: int | None = None,
+               origin: str = dims.GRID_ORIGIN) -> None:
     """Write the three published documents."""
-    daily = daily_rows(trend, days, last_t=last_t)
+    daily = daily_rows(trend, days, origin, last_t=last_t)
     header = timeseries_header(daily, results, parties, n_draws, diagnostics, generated_at)
     write_document(header, daily, f"{out}/timeseries")
-    write_document(current_snapshot(trend, polls, as_of, generated_at), None,
+    write_document(current_snapshot(trend, polls, as_of, generated_at, origin), None,
                    f"{out}/snapshot")
     rows = poll_rows(polls)
     write_document(polls_header(rows, generated_at), rows, f"{out}/polls", keep_nulls=True)

@@ -97,3 +97,9 @@ CURRENT_DOC = _struct(
         ("last_poll_pollster", _S),
     )),
 )
+
+# Columns of a poll in the polls document are those of the parties in the canonical table.
+POLLS_DOC = _struct(("generated_at", _S), ("n_polls", _L), ("columns", T.ArrayType(_S)))
+
+POLL_ROW = _struct(("date", _S), ("pollster", _S), ("sample_size", _L), *[(k, _D) for k in (
+    "CDU_CSU", "SPD", "GRUENE", "FDP", "AfD", "LINKE", "BSW", "Sonstige")])

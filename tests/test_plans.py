@@ -408,3 +408,26 @@ def test_pattern_exclusion(spark):
     out = model_input.with_pattern(df, ["A", "R"], "R")
     assert {r.uuid: (r.pattern, r.pattern_idx) for r in out.collect()} == {"u1": ("A | R", 1), "u2": ("R", 2)}
     assert {r.uuid for r in model_input.with_pattern(df, ["A", "R"], "R", "A | R").collect()} == {"u2"}
+
+
+def test_document_rules(spark):
+    """Each kind of rule on one broken document; a sound one has no finding."""
+    from pollspark import schemas
+    from pollspark.operators import documents as D
+
+    good = '{"date":"2024-01-01","parties":{"A":{"q05":0.1,"q10":0.2,"q25":0.2,"median":0.3,"q75":0.4,"q90":0.5,"q95":0.6}}}'
+    bad = good.replace('"q10":0.2', '"q10":0.25').replace('"q95":0.6', '"q95":0.6004').replace('"A"', '"B"').replace("2024-01-01", "2024-01-03")
+    texts = spark.createDataFrame([(good,), (bad,), ("{not json",), (None,)], "value string")
+    docs = D.parsed(texts, schemas.TIMESERIES_ROW)
+    rules = [D.readable(), D.exactly_keys("parties", ["A"]), D.each("parties", D.ascending(dims.QUANTILE_KEYS), D.decimals(dims.QUANTILE_KEYS, 3))]
+    found = sorted(tuple(r) for r in D.check(docs, "doc", rules, F.coalesce("doc.date", F.lit("?"))).collect())
+    assert found == sorted([
+        ("keys", "2024-01-03.parties", "without A; besides B"), ("ascending", "2024-01-03.parties[B]", "q10>q25"),
+        ("decimals", "2024-01-03.parties[B]", "q95"), ("readable", "?", "not a document"), ("readable", "?", "not a document"),
+        ("keys", "?.parties", "missing"), ("keys", "?.parties", "missing")])
+    days = spark.createDataFrame([("2024-01-01",), ("2024-01-03",), ("2024-01-03",), (None,)], "d string").selectExpr("cast(d AS date) AS d")
+    found = {(r.rule, r.place, r.found) for r in D.steps(days, "d", lambda d: d.cast("string")).collect()}
+    assert found == {("once", "2024-01-03", "2"), ("no gaps", "2024-01-01", "no next day")}
+    assert D.steps(days.limit(0), "d", lambda d: d.cast("string")).count() == 0
+    rows = spark.createDataFrame([(0, 5), (1, 3), (2, 4)], "p int, v int")
+    assert [tuple(r) for r in D.in_order(rows, "p", "v", True, lambda p: p.cast("string")).collect()] == [("in order", "2", "3 then 4")]
