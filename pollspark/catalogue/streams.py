@@ -12,6 +12,7 @@ from pollspark.catalogue.base import query, table
 from pollspark.functions import hashing
 from pollspark.functions.dates import iso
 from pollspark.session import shared_dir
+from pollspark.sources.snapshots import SnapshotTable
 from pollspark.streaming import ingest, periods
 
 
@@ -39,6 +40,56 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.read(spark, out, docs.schema)
 
 
+def _halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Orders up to 1998 and after, as rows of their source."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("pollster"))
+    return o.where("year < 1998"), o.where("year >= 1998")
+
+
+def _per_source(t: SnapshotTable, schema: T.StructType) -> DataFrame:
+    rows = t.read(schema)
+    return rows.groupBy("pollster", "year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+def _snapshot(spark: SparkSession) -> SnapshotTable:
+    return SnapshotTable(spark, _workdir(spark), "pollster")
+
+
+_SQL_SOURCES = """SELECT o_orderpriority AS pollster, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE {} GROUP BY 1, 2"""
+
+
+@query(_SQL_SOURCES.format("true"))
+def snapshot_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Two commits appended, the second one twice under its name; read back."""
+    early, late = _halves(spark, sf)
+    t = _snapshot(spark)
+    t.append(early, "early")
+    t.append(late.where("year < 2000"), "late")
+    t.append(late, "late")
+    return _per_source(t, early.schema)
+
+
+@query(_SQL_SOURCES.format("CASE WHEN o_orderpriority IN ('1-URGENT', '5-LOW') THEN year(o_orderdate) >= 1998 ELSE year(o_orderdate) < 1998 END"))
+def snapshot_replace(spark: SparkSession, sf: str) -> DataFrame:
+    """Two sources of a commit replaced by another; the others keep their rows."""
+    early, late = _halves(spark, sf)
+    t = _snapshot(spark)
+    t.append(early, "early")
+    t.replace(late.where(F.col("pollster").isin("1-URGENT", "5-LOW")), "late")
+    return _per_source(t, early.schema)
+
+
+@query(_SQL_SOURCES.format("year(o_orderdate) >= 1998"))
+def snapshot_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole table replaced, after older commits."""
+    early, late = _halves(spark, sf)
+    t = _snapshot(spark)
+    t.append(early, "early")
+    t.refresh(late, "late")
+    t.vacuum(keep=1)
+    return _per_source(t, early.schema)
+
+
 @query("""SELECT strftime(DATE '2024-01-01' + CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7.0) AS INTEGER) * 7,
 '%Y-%m-%d') AS period_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2""")
 def stream_periods(spark: SparkSession, sf: str) -> DataFrame:
