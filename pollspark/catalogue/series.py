@@ -23,8 +23,11 @@ def shares(spark: SparkSession, sf: str) -> DataFrame:
 SQL_W = "OVER (PARTITION BY party ORDER BY t)"
 
 
-@query("""SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
-ROWS UNBOUNDED PRECEDING), 4) AS path FROM events""")
+_SQL_PATH = """SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id
+ROWS UNBOUNDED PRECEDING), 4) AS path FROM events"""
+
+
+@query(_SQL_PATH)
 def running_path(spark: SparkSession, sf: str) -> DataFrame:
     """Running sum of values per user; a hot user is cut into bins."""
     ev = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
@@ -33,13 +36,25 @@ def running_path(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("user_id", "event_id", (F.round("path", 4) + F.lit(0.0)).alias("path"))
 
 
-@query("""WITH m AS (SELECT * FROM events WHERE event_type = 'purchase'),
+@query(_SQL_PATH)
+def running_path_in_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """The same path the way it runs on a very large table: every user cut, 10,000 bins."""
+    n = size_of(spark, sf, "events")
+    ev = table(spark, sf, "events").select("user_id", "event_id", "ts", "value")
+    out = ordered.running_sum(ev, ["user_id"], ["ts", "event_id"], F.col("value"), "path", n, max(1, n // 10_000))
+    return out.select("user_id", "event_id", (F.round("path", 4) + F.lit(0.0)).alias("path"))
+
+
+_SQL_NEAREST = """WITH m AS (SELECT * FROM events WHERE event_type = 'purchase'),
 n AS (SELECT e.event_id, m.event_id AS near_id, row_number() OVER (PARTITION BY e.event_id ORDER BY
  abs(date_diff('microsecond', m.ts, e.ts)), m.ts, CASE WHEN m.ts > e.ts OR (m.ts = e.ts AND
  m.event_id > e.event_id) THEN m.event_id ELSE -m.event_id END) AS rn
  FROM events e JOIN m USING (user_id) WHERE e.event_type <> 'purchase')
 SELECT e.event_id, near_id FROM events e LEFT JOIN (SELECT * FROM n WHERE rn = 1) n USING (event_id)
-WHERE event_type <> 'purchase'""")
+WHERE event_type <> 'purchase'"""
+
+
+@query(_SQL_NEAREST)
 def nearest_event(spark: SparkSession, sf: str) -> DataFrame:
     """For every event the same user's purchase nearest in time, the earlier one of a tie."""
     ev = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
@@ -48,6 +63,14 @@ def nearest_event(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", "near_id")
 
 
+@query(_SQL_NEAREST)
+def nearest_event_in_bins(spark: SparkSession, sf: str) -> DataFrame:
+    """The same lookup with users of more than a hundred events cut into bins."""
+    ev = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
+    out = ordered.nearest_marker(ev, ["user_id"], "ts", "event_id", F.col("event_type") == "purchase", size_of(spark, sf, "events"), 20)
+    return out.select("event_id", "near_id")
+
+
 @query(f"""WITH {CTE_SHARE}, d AS (SELECT t, party, s - lag(s) {SQL_W} AS d1,
 s - 2 * lag(s) {SQL_W} + lag(s, 2) {SQL_W} AS d2, t - lag(t) {SQL_W} AS gap FROM share)
 SELECT party, round(avg(abs(d2)), 6) AS roughness, round(max(d2), 6) AS max_d2,

@@ -1,13 +1,15 @@
 """Ordered scans that survive a hot key.
 
 A plain window sends every row of one key to one task, which fails when a key holds a large part
-of the table. Here the order of such keys is cut into bins at literal cut points. Each (key, bin) group is one
+of the table. Here the order of such keys is cut into bins. Each (key, bin) group is one
 window partition, and what the bins before it add up to enters as one extra "carry" row that
-sorts first. Results are the same as with the plain window, and no group exceeds a bin.
+sorts first. Results are the same as with the plain window, but for the order in which
+floating-point values are added, and no group exceeds a bin.
 
 Cut points come from a small hash-chosen sample of the order columns. They only balance the work:
-any cuts give the same result, and as literals they stay the same when a lost executor makes
-Spark run a stage again.
+any cuts give the same result. Being literals or a written table, they stay the same when a lost
+executor makes Spark run a stage again. There may be any number of bins: beyond ``LITERALS`` they
+are bins of bins.
 """
 
 from __future__ import annotations
@@ -18,10 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pollspark.session import checkpointed
+
 ROWS_PER_BIN = 1_000_000
 MAX_BINS = 4096
+LITERALS = 512
 _SAMPLES_PER_BIN = 40
-_BIN, _ROW, _HOT = "__bin", "__row", "__hot"
+_BIN, _SUB, _ROW, _HOT = "__bin", "__sub", "__row", "__hot"
 
 
 def cut_points(df: DataFrame, cols: list[str], n_rows: int,
@@ -32,7 +37,7 @@ def cut_points(df: DataFrame, cols: list[str], n_rows: int,
     Parquet answers from the footers. The sample holds about 40 keys per bin; at most four times
     as many reach the driver, should ``n_rows`` be too low.
     """
-    bins = min(MAX_BINS, math.ceil(n_rows / max(1, rows_per_bin)))
+    bins = min(MAX_BINS, math.ceil(n_rows / max(1, rows_per_bin)))  # literal cuts; ``with_bins`` goes on inside them
     if bins <= 1:
         return []
     target = bins * _SAMPLES_PER_BIN
@@ -112,30 +117,118 @@ def bin_of(df: DataFrame, cols: list[str], cuts: list[tuple[str, ...]]) -> Colum
 _MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+def with_bins(rows: DataFrame, sampled: DataFrame, cols: list[str], n_rows: int,
+              rows_per_bin: int) -> tuple[DataFrame, bool]:
+    """Rows with their bin (``__bin``, ``__sub``), and whether there are bins of bins.
+
+    Up to ``LITERALS`` bins are found among literal cut points. Beyond, these cut the order coarsely,
+    and the cut points inside each coarse bin come from a sample that stays on the executors: a
+    sorted list per coarse bin, written once and joined on the bin. Any number of bins is possible.
+    """
+    bins = math.ceil(n_rows / max(1, rows_per_bin))
+    two = bins > LITERALS
+    coarse = cut_points(sampled, cols, n_rows, math.ceil(n_rows / min(LITERALS, math.isqrt(bins) + 1)) if two else rows_per_bin)
+    placed = rows.withColumn(_BIN, bin_of(rows, cols, coarse))
+    if not two:
+        return placed.withColumn(_SUB, F.lit(0)), False
+    inside = math.ceil(bins / (len(coarse) + 1))
+    every = max(1, n_rows // (bins * _SAMPLES_PER_BIN))
+    keys = sampled.select(*cols)
+    if every > 1:
+        keys = keys.where(F.pmod(F.xxhash64(*cols), F.lit(every)) == 0)
+    keys = keys.distinct().withColumn(_BIN, bin_of(rows, cols, coarse))
+    # A coarse bin holds about ``_SAMPLES_PER_BIN * inside`` keys of the sample.
+    w = Window.partitionBy(_BIN)
+    at = F.row_number().over(w.orderBy(*[F.asc_nulls_first(c) for c in cols]))
+    step = keys.withColumns({"__at": at, "__of": F.count(F.lit(1)).over(w)})
+    first = F.floor(F.col("__at") * inside / F.col("__of")) > F.floor((F.col("__at") - 1) * inside / F.col("__of"))
+    cuts = checkpointed(step.where(first).groupBy(_BIN).agg(
+        F.sort_array(F.collect_list(F.struct(*cols))).alias("__cuts")))
+    here = F.struct(*cols)
+    sub = F.size(F.filter("__cuts", lambda c: c <= here))
+    return placed.join(cuts, _BIN, "left").withColumn(_SUB, F.coalesce(sub, F.lit(0))).drop("__cuts"), True
+
+
 def hot_keys(df: DataFrame, keys: list[str], order: list[str], n_rows: int,
-             rows_per_bin: int = ROWS_PER_BIN) -> list[tuple]:
-    """Keys with more rows than one task should take; about ``MAX_BINS`` of them can exist.
+             rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
+    """Keys with more rows than one task should take, at most about one per bin.
 
     Sizes are estimated from the rows of every m-th hash of the order, about 1000 rows at the
     limit; a key misjudged near the limit is only cut, or not cut, and the result is the same.
     """
-    limit = max(rows_per_bin, n_rows // MAX_BINS)
-    every = max(1, limit // 1000)
+    every = max(1, rows_per_bin // 1000)
     chosen = df if every == 1 else df.where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0)
     big = chosen.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(
-        F.col("__n") * every > limit)
-    return [tuple(r) for r in big.select(*keys).collect()]
+        F.col("__n") * every > rows_per_bin)
+    return checkpointed(big.select(*keys))
 
 
-def flag_hot(df: DataFrame, keys: list[str], hot: list[tuple], name: str) -> DataFrame:
-    """Mark the rows of hot keys; the list is bounded by ``MAX_BINS``, so it is broadcast."""
-    names = [f"__h_{k}" for k in keys]
-    schema = T.StructType([T.StructField(n, df.schema[k].dataType) for n, k in zip(names, keys)])
-    known = df.sparkSession.createDataFrame(hot, schema).withColumn(name, F.lit(True))
+def flag_hot(df: DataFrame, keys: list[str], hot: DataFrame, name: str) -> DataFrame:
+    """Mark the rows of hot keys; Spark broadcasts the list while its stored size allows it."""
+    known = hot.select(*[F.col(k).alias(f"__h_{k}") for k in keys], F.lit(True).alias(name))
     same = F.lit(True)
-    for k, n in zip(keys, names):
-        same = same & F.col(k).eqNullSafe(F.col(n))
-    return df.join(F.broadcast(known), same, "left").drop(*names).fillna(False, [name])
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__h_{k}"))
+    return df.join(known, same, "left").drop(*[f"__h_{k}" for k in keys]).fillna(False, [name])
+
+
+def _binned(rows: DataFrame, keys: list[str], order: list[str], n_rows: int,
+            rows_per_bin: int) -> tuple[DataFrame, bool] | None:
+    """Rows with ``__hot``, ``__bin`` and ``__sub``; None where no group outgrows one task."""
+    if n_rows <= rows_per_bin:
+        return None
+    flagged = rows.withColumn(_HOT, F.lit(True))
+    if keys:
+        hot = hot_keys(rows, keys, order, n_rows, rows_per_bin)
+        if hot.isEmpty():
+            return None
+        flagged = flag_hot(rows, keys, hot, _HOT)
+    placed, two = with_bins(flagged, flagged.where(_HOT), order, n_rows, rows_per_bin)
+    return placed.withColumns({b: F.when(F.col(_HOT), F.col(b)).otherwise(0) for b in (_BIN, _SUB)}), two
+
+
+def _carried(totals: DataFrame, keys: list[str], kinds: dict[str, str], two: bool,
+             reverse: bool = False) -> DataFrame:
+    """What the bins before each bin of a key add up to, where there is such a bin.
+
+    ``totals`` has one row per (key, bin, sub-bin). With bins of bins the sums run over the
+    coarse bins and inside each of them, so no window holds more than a share of the bins.
+    """
+    arrow = F.desc_nulls_last if reverse else F.asc_nulls_first
+
+    def before(df: DataFrame, part: list[str], by: str, tail: str) -> DataFrame:
+        w = Window.partitionBy(*part).orderBy(arrow(by))
+        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({f"__n{tail}": F.row_number().over(w), **{
+            n + tail: F.lag(n).over(w) if kind == "lag" else _MERGE[kind](n).over(earlier)
+            for n, kind in kinds.items()}})
+
+    if not two:
+        one = before(totals, keys, _BIN, "_c").where("__n_c > 1")
+        return one.select(*keys, _BIN, _SUB, *[F.col(f"{n}_c").alias(n) for n in kinds])
+
+    def last(n: str) -> Column:
+        return F.min_by(n, _SUB) if reverse else F.max_by(n, _SUB)
+
+    per_bin = totals.groupBy(*keys, _BIN).agg(*[
+        (last(n) if kind == "lag" else _MERGE[kind](n)).alias(n) for n, kind in kinds.items()])
+    coarse = before(per_bin, keys, _BIN, "_c").select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.col(_BIN).alias("__k_bin"), "__n_c", *[f"{n}_c" for n in kinds])
+    fine = before(totals, [*keys, _BIN], _SUB, "_f")
+    same = F.col(_BIN) == F.col("__k_bin")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+
+    def both(n: str, kind: str) -> Column:
+        f, c = F.col(f"{n}_f"), F.col(f"{n}_c")
+        if kind == "lag":
+            return F.when(F.col("__n_f") > 1, f).otherwise(c)
+        if kind == "sum":
+            return F.coalesce(f + c, f, c)
+        return F.greatest(f, c) if kind == "max" else F.least(f, c)
+
+    return fine.join(coarse, same).where("__n_f > 1 OR __n_c > 1").select(
+        *keys, _BIN, _SUB, *[both(n, kind).alias(n) for n, kind in kinds.items()])
 
 
 def scan(df: DataFrame, keys: list[str], order: list[str],
@@ -152,34 +245,20 @@ def scan(df: DataFrame, keys: list[str], order: list[str],
     ordering = [arrow(c) for c in order]
     names = {name: f"__v_{name}" for name in values}
     rows = df.withColumns({names[n]: e for n, (_, e) in values.items()})
+    kinds = {names[n]: kind for n, (kind, _) in values.items()}
 
-    cut = n_rows > rows_per_bin
-    hot = hot_keys(df, keys, order, n_rows, rows_per_bin) if cut and keys else []
-    if not cut or (keys and not hot):
-        part, cuts = rows, []
-        w = Window.partitionBy(*keys).orderBy(*ordering)
+    binned = _binned(rows, keys, order, n_rows, rows_per_bin)
+    if binned is None:
+        part, w = rows, Window.partitionBy(*keys).orderBy(*ordering)
     else:
-        flagged = flag_hot(rows, keys, hot, _HOT) if keys else rows.withColumn(_HOT, F.lit(True))
-        cuts = cut_points(flagged.where(_HOT), order, n_rows, rows_per_bin)
-        rows = flagged.withColumns({
-            _BIN: F.when(F.col(_HOT), bin_of(df, order, cuts)).otherwise(0), _ROW: F.lit(1)})
-        totals = rows.where(_HOT).groupBy(*keys, _BIN).agg(*[
-            (F.max_by(names[n], F.struct(*order)) if kind == "lag" and not reverse
-             else F.min_by(names[n], F.struct(*order)) if kind == "lag"
-             else _MERGE[kind](names[n])).alias(names[n])
-            for n, (kind, _) in values.items()
-        ])
-        # Before every bin of a hot key: at most MAX_BINS rows per key.
-        before = Window.partitionBy(*keys).orderBy(arrow(_BIN))
-        earlier = before.rowsBetween(Window.unboundedPreceding, -1)
-        carry = totals.select(
-            *keys, _BIN, F.lit(0).alias(_ROW), F.row_number().over(before).alias("__n"),
-            *[(F.lag(names[n]).over(before) if kind == "lag"
-               else _MERGE[kind](names[n]).over(earlier)).alias(names[n])
-              for n, (kind, _) in values.items()],
-        ).where("__n > 1").drop("__n")  # nothing comes before the first bin of a key
-        part = rows.unionByName(carry, allowMissingColumns=True)
-        w = Window.partitionBy(*keys, _BIN).orderBy(F.asc(_ROW), *ordering)
+        placed, two = binned
+        totals = placed.where(_HOT).groupBy(*keys, _BIN, _SUB).agg(*[
+            (F.max_by(n, F.struct(*order)) if kind == "lag" and not reverse
+             else F.min_by(n, F.struct(*order)) if kind == "lag"
+             else _MERGE[kind](n)).alias(n) for n, kind in kinds.items()])
+        carry = _carried(totals, keys, kinds, two, reverse).withColumn(_ROW, F.lit(0))
+        part = placed.withColumn(_ROW, F.lit(1)).unionByName(carry, allowMissingColumns=True)
+        w = Window.partitionBy(*keys, _BIN, _SUB).orderBy(F.asc(_ROW), *ordering)
 
     up_to_here = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = part.withColumns({
@@ -188,7 +267,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str],
     })
     if _ROW in part.columns:
         out = out.where(F.col(_ROW) == 1)
-    return out.drop(_BIN, _ROW, _HOT, *names.values())
+    return out.drop(_BIN, _SUB, _ROW, _HOT, *names.values())
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str, n_rows: int,
@@ -207,14 +286,26 @@ def nearest_marker(df: DataFrame, keys: list[str], time: str, tie: str, is_marke
     """For every row that is no marker, the marker of the same key nearest in time.
 
     Adds ``near_time`` and ``near_id``; of two at the same distance the earlier one wins. Null
-    where a key has no marker.
+    where a key has no marker. One sort serves both directions: a bin of a hot key is framed by a
+    row for the last marker before it and one for the first marker after it.
     """
     point = F.struct(F.col(time).alias("t"), F.col(tie).alias("i"))
-    mark = {"__m": F.when(is_marker, point)}
-    rows = df.withColumns({**mark, "__is": F.coalesce(is_marker, F.lit(False))})
-    rows = scan(rows, keys, [time, tie], {"__prev": ("max", F.col("__m"))}, n_rows, rows_per_bin)
-    rows = scan(rows, keys, [time, tie], {"__next": ("min", F.col("__m"))}, n_rows, rows_per_bin,
-                reverse=True)
+    rows = df.withColumns({"__m": F.when(is_marker, point), "__is": F.coalesce(is_marker, F.lit(False))})
+    binned = _binned(rows, keys, [time, tie], n_rows, rows_per_bin)
+    by = [*keys]
+    if binned is None:
+        part = rows.withColumn(_ROW, F.lit(1))
+    else:
+        placed, two = binned
+        by += [_BIN, _SUB]
+        totals = placed.where(_HOT).groupBy(*by).agg(F.max("__m").alias("__m"), F.min("__m").alias("__first"))
+        # Written once for two readers; one row per key and bin.
+        totals = checkpointed(totals)
+        back = _carried(totals.drop("__first"), keys, {"__m": "max"}, two).withColumn(_ROW, F.lit(0))
+        ahead = _carried(totals.drop("__m").withColumnRenamed("__first", "__m"), keys, {"__m": "min"}, two, reverse=True).withColumn(_ROW, F.lit(2))
+        part = placed.withColumn(_ROW, F.lit(1)).unionByName(back, allowMissingColumns=True).unionByName(ahead, allowMissingColumns=True)
+    over = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in by)} ORDER BY {_ROW}, `{time}`, `{tie}`)"
+    part = part.withColumns({"__prev": F.expr(f"lag(__m) IGNORE NULLS {over}"), "__next": F.expr(f"lead(__m) IGNORE NULLS {over}")})
 
     here = F.col(time)
     use_next = F.col("__prev").isNull() | (
@@ -222,8 +313,8 @@ def nearest_marker(df: DataFrame, keys: list[str], time: str, tie: str, is_marke
     best = F.when(F.col("__next").isNotNull() & use_next, F.col("__next")).otherwise(
         F.col("__prev"))
     return (
-        rows.where(~F.col("__is"))
+        part.where((F.col(_ROW) == 1) & ~F.col("__is"))
         .withColumn("__best", best)
         .withColumns({"near_time": F.col("__best.t"), "near_id": F.col("__best.i")})
-        .drop("__m", "__is", "__prev", "__next", "__best")
+        .drop("__m", "__is", "__prev", "__next", "__best", _BIN, _SUB, _ROW, _HOT)
     )

@@ -90,7 +90,7 @@ def test_hot_key_never_fills_one_group(spark):
         F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id")).alias("key"),
         F.col("id").alias("o"), F.lit(1).alias("v"))
     hot = ordered.hot_keys(df, ["key"], ["o"], 30_000, 1000)
-    assert hot == [(0,)]
+    assert [tuple(r) for r in hot.collect()] == [(0,)]
     flagged = ordered.flag_hot(df, ["key"], hot, "hot").where("hot")
     cuts = ordered.cut_points(flagged, ["o"], 30_000, 1000)
     sizes = flagged.groupBy(ordered.bin_of(df, ["o"], cuts).alias("b")).count()
@@ -146,3 +146,24 @@ def test_trailing_weights_stay_at_their_position(spark):
     df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None), (4, 4.0)], "t long, x double").selectExpr("'k' AS k", "*")
     got = {r.t: r.w for r in weighted_trailing(df, ["k"], "t", "x", [0.5, 0.3, 0.2], "w").collect()}
     assert abs(got[4] - 0.8) < 1e-12
+
+
+def test_bins_of_bins_are_even(spark, monkeypatch):
+    """More bins than literal cut points: the largest stays under three times the mean."""
+    monkeypatch.setattr(ordered, "LITERALS", 16)
+    df = spark.range(40_000).select((F.col("id") * F.col("id") % 40_009).alias("o"), "id")
+    binned, two = ordered.with_bins(df, df, ["o", "id"], 40_000, 100)
+    sizes = binned.groupBy("__bin", "__sub").count()
+    n, most = sizes.agg(F.count("*"), F.max("count")).first()
+    assert two and n > 200 and most < 3 * 40_000 / n
+    values = {"s": ("sum", F.col("id")), "m": ("max", F.col("id")), "n": ("min", F.col("id")), "p": ("lag", F.col("id"))}
+    for keys, reverse in (([], False), ([], True), (["k"], False), (["k"], True)):
+        rows = df.withColumn("k", F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 2))
+        a = ordered.scan(rows, keys, ["o", "id"], values, 40_000, 100, reverse)
+        b = ordered.scan(rows, keys, ["o", "id"], values, 40_000, reverse=reverse)
+        assert a.exceptAll(b).isEmpty() and a.count() == 40_000
+
+
+def test_nearest_marker_sorts_the_facts_once(spark, sf):
+    text = plan(QUERIES["nearest_event"](spark, sf))
+    assert text.count("Exchange") == 1 and text.count("Sort ") == 1
