@@ -10,7 +10,7 @@ from pollspark.catalogue.base import (
     SQL_PARTY_IDX, draws, line_parties, orders, party_of, query, r6, size_of, sql_quantiles, sql_t, table,
 )
 from pollspark.functions import numeric as N
-from pollspark.functions.dates import day_series, grid_index, grid_start, iso
+from pollspark.functions.dates import days_open, grid_index, grid_start, iso
 from pollspark.functions.text import indexed_name
 from pollspark.operators import joins, quantiles, reshape, rows, series as S
 
@@ -64,6 +64,12 @@ def draw_names_parse(spark: SparkSession, sf: str) -> DataFrame:
     return named.select("variable", base.alias("base"), i.alias("i"), j.alias("j"), "n_draws")
 
 
+def _days(spark: SparkSession, sf: str) -> DataFrame:
+    """Days to the end of the last period that has a draw; a scan of one column finds it."""
+    t = grid_index(F.col("l_shipdate").cast("date"), ORIGIN)
+    return days_open(spark, ORIGIN, LAST_DAY, table(spark, sf, "lineitem"), F.date_sub(grid_start(t + 1, ORIGIN), 1))
+
+
 def melted(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(
         "vec_id", "label", F.posexplode("embedding").alias("k", "value"))
@@ -77,11 +83,11 @@ def draws_melt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {CTE_DRAWS}, q AS ({sql_quantiles('t, party', 'draws')}),
-d AS (SELECT CAST(unnest(generate_series(DATE '{ORIGIN}', DATE '{LAST_DAY}', INTERVAL 1 DAY)) AS DATE) AS day)
+d AS (SELECT CAST(unnest(generate_series(DATE '{ORIGIN}', greatest(DATE '{LAST_DAY}', DATE '{ORIGIN}' + CAST((SELECT max(t) FROM draws) AS INTEGER) * 14 - 1), INTERVAL 1 DAY)) AS DATE) AS day)
 SELECT strftime(day, '%Y-%m-%d') AS day, party, {_ROUND_Q} FROM d JOIN q ON q.t = {sql_t('day')}""")
 def daily_broadcast(spark: SparkSession, sf: str) -> DataFrame:
     """Period quantiles on every day of the period."""
-    days = day_series(spark, ORIGIN, LAST_DAY)
+    days = _days(spark, sf)
     return rounded(joins.days_of_periods(days, trend(spark, sf), ORIGIN)).select(
         iso("date").alias("day"), "party", *LEVEL_KEYS)
 
@@ -125,7 +131,7 @@ _SQL_DOC = " || ',' || ".join(
 @query(f"""WITH {CTE_DRAWS}, q0 AS ({sql_quantiles('t, party', 'draws')}),
 q AS (SELECT t, party, {_ROUND_Q} FROM q0),
 doc AS (SELECT t, '{{' || {_SQL_DOC} || '}}' AS parties FROM q GROUP BY t),
-d AS (SELECT CAST(unnest(generate_series(DATE '{ORIGIN}', DATE '{LAST_DAY}', INTERVAL 1 DAY)) AS DATE) AS day)
+d AS (SELECT CAST(unnest(generate_series(DATE '{ORIGIN}', greatest(DATE '{LAST_DAY}', DATE '{ORIGIN}' + CAST((SELECT max(t) FROM draws) AS INTEGER) * 14 - 1), INTERVAL 1 DAY)) AS DATE) AS day)
 SELECT strftime(day, '%Y-%m-%d') AS date, parties FROM d JOIN doc ON doc.t = {sql_t('day')}""")
 def nested_timeseries(spark: SparkSession, sf: str) -> DataFrame:
     """One JSON object per day, nested by party, nulls for a party without draws; nested once per period."""
@@ -133,7 +139,7 @@ def nested_timeseries(spark: SparkSession, sf: str) -> DataFrame:
     nested = reshape.nest_by_key(q, ["t"], "party", LEVEL_KEYS, "parties")
     parties = reshape.complete_map(F.col("parties"), sorted(PARTIES), LEVEL_KEYS)
     docs = nested.select("t", F.to_json(parties, {"ignoreNullFields": "false"}).alias("parties"))
-    return joins.days_of_periods(day_series(spark, ORIGIN, LAST_DAY), docs, ORIGIN).select(
+    return joins.days_of_periods(_days(spark, sf), docs, ORIGIN).select(
         iso("date").alias("date"), "parties")
 
 

@@ -11,7 +11,7 @@ from pollspark.catalogue.base import (
     party_of, period, period_votes, query, r6, size_of, sql_t, table,
 )
 from pollspark.functions import hashing
-from pollspark.functions.dates import day_series, grid_index, iso, month_floor
+from pollspark.functions.dates import days_open, grid_index, iso, month_floor
 from pollspark.functions.numeric import residual_share, row_sum
 from pollspark.operators import joins, ordered, quantiles, reshape, rows
 from pollspark.plans import checks
@@ -290,9 +290,9 @@ def zero_fill_counts(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_polls"), *[F.sum(p).alias(p) for p in PARTIES])
 
 
-def calendar(spark: SparkSession, start: str = ORIGIN, end: str = LAST_DAY) -> DataFrame:
-    """Days with their 14- and 28-day units (restarting every month) and running indexes."""
-    days = day_series(spark, start, end).select(
+def calendar(spark: SparkSession, sf: str, start: str = ORIGIN, end: str = LAST_DAY) -> DataFrame:
+    """Days up to the last poll, ``end`` at least, with their 14- and 28-day units (restarting every month) and running indexes."""
+    days = days_open(spark, start, end, orders(spark, sf), F.col("day")).select(
         "date", month_floor(F.col("date"), 14).alias("layer1"),
         month_floor(F.col("date"), 28).alias("layer2"))
     # Calendar-sized: a few units per month.
@@ -301,7 +301,7 @@ def calendar(spark: SparkSession, start: str = ORIGIN, end: str = LAST_DAY) -> D
     return days.join(l1, "layer1").join(l2, "layer2")
 
 
-_SQL_CAL = f"""d AS (SELECT CAST(unnest(generate_series(DATE '{ORIGIN}', DATE '{LAST_DAY}',
+_SQL_CAL = f"""d AS (SELECT CAST(unnest(generate_series(DATE '{ORIGIN}', greatest(DATE '{LAST_DAY}', (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)),
  INTERVAL 1 DAY)) AS DATE) AS date),
 u AS (SELECT date, CAST(date_trunc('month', date) AS DATE) + CAST(floor((day(date) - 1) / 14.0) AS INTEGER) * 14 AS layer1,
  CAST(date_trunc('month', date) AS DATE) + CAST(floor((day(date) - 1) / 28.0) AS INTEGER) * 28 AS layer2 FROM d),
@@ -317,7 +317,7 @@ def month_floor_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Polls per day with both calendar layers; polls are counted before the calendar join."""
     daily = orders(spark, sf).groupBy(F.col("day").alias("date")).agg(
         F.count(F.lit(1)).alias("n_polls"))
-    return daily.join(calendar(spark), "date").select(
+    return daily.join(calendar(spark, sf), "date").select(
         iso("date").alias("day"), iso("layer1").alias("layer1"),
         F.col("layer1_idx").cast("bigint").alias("layer1_idx"),
         F.col("layer2_idx").cast("bigint").alias("layer2_idx"), "n_polls")
@@ -330,7 +330,7 @@ def calendar_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Every calendar day, also those without a poll."""
     daily = orders(spark, sf).groupBy(F.col("day").alias("date")).agg(
         F.count(F.lit(1)).alias("n_polls"))
-    return daily.join(calendar(spark), "date", "right").select(
+    return daily.join(calendar(spark, sf), "date", "right").select(
         iso("date").alias("day"), F.col("layer1_idx").cast("bigint").alias("layer1_idx"), "n_polls")
 
 
@@ -344,7 +344,7 @@ def era_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Start and end of every source as calendar indexes, flagged where outside the calendar."""
     eras = orders(spark, sf, "o_orderpriority").groupBy(F.col("o_orderpriority").alias("source")).agg(
         F.date_sub(F.min("day"), 1).alias("start_date"), F.max("day").alias("end_date"))
-    out = joins.era_index(eras, calendar(spark), "layer1_idx")
+    out = joins.era_index(eras, calendar(spark, sf), "layer1_idx")
     missing = F.lit(-99).cast("bigint")
     return out.select(
         "source", F.coalesce(F.col("idx_start").cast("bigint"), missing).alias("idx_start"),

@@ -81,3 +81,9 @@ def days_through(periods: DataFrame, t: str, origin: str, days: int = 14) -> Dat
     first = F.lit(origin).cast("date")
     end = F.date_add(first, (F.col("last") * days - 1).cast("int"))
     return last.where("last >= 1").select(F.explode(F.sequence(first, end)).alias("date"))
+
+
+def days_open(spark: SparkSession, start: str, end: str, facts: DataFrame, day: Column) -> DataFrame:
+    """One row per day (date) from ``start`` to ``end``, or to the last ``day`` of ``facts`` where that is later."""
+    last = facts.agg(F.greatest(F.lit(end).cast("date"), F.max(day)).alias("last"))
+    return last.select(F.explode(F.sequence(F.lit(start).cast("date"), F.col("last"))).alias("date"))

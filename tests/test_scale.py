@@ -8,8 +8,9 @@ from pollspark.catalogue.base import draws, table
 from pollspark.operators import ordered, quantiles, rows
 
 QUERIES = entry_module.queries()
-# These run a stream when called.
-EAGER = {"stream_dedup", "stream_periods"}
+# These write and read when called; what they return is a plain scan.
+EAGER = {"stream_dedup", "stream_periods", "document_rules", "source_files"} | {
+    n for n in QUERIES if n.startswith(("job_", "snapshot_"))}
 
 
 def plan(df):
@@ -167,3 +168,10 @@ def test_bins_of_bins_are_even(spark, monkeypatch):
 def test_nearest_marker_sorts_the_facts_once(spark, sf):
     text = plan(QUERIES["nearest_event"](spark, sf))
     assert text.count("Exchange") == 1 and text.count("Sort ") == 1
+
+
+def test_days_after_the_calendar_are_kept(spark, sf, tmp_path):
+    o = table(spark, sf, "orders")
+    o.withColumn("o_orderdate", F.col("o_orderdate") + F.expr("INTERVAL 9 YEARS")).write.parquet(f"{tmp_path}/orders.parquet")
+    df = QUERIES["month_floor_grid"](spark, str(tmp_path))
+    assert df.agg(F.sum("n_polls")).first()[0] == o.count()
