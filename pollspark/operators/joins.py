@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pollspark.functions.dates import grid_index, grid_index_closed
-from pollspark.operators.ordered import MAX_BINS, ROWS_PER_BIN
+from pollspark.operators.ordered import ROWS_PER_BIN
 from pollspark.session import checkpointed
 
 
@@ -33,20 +33,34 @@ def same_keys(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "
     return rows.join(theirs, same, how).drop(*[f"__same_{k}" for k in keys])
 
 
+BROADCAST_BYTES = 8 << 20
+
+
+def counted_bytes(df: DataFrame) -> int:
+    """Bytes of a table's values: 16 for each number, the length of each text and of each nested value as text."""
+    text = [F.octet_length(F.col(f"`{c}`").cast("string")) for c, kind in df.dtypes if kind == "string" or "<" in kind]
+    size = sum([F.coalesce(t, F.lit(0)) for t in text], F.lit(16 * len(df.columns)))
+    return df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
 def salted_lookup(rows: DataFrame, per_key: DataFrame, keys: list[str], salt_by: list[str],
                   n_rows: int, rows_per_salt: int = ROWS_PER_BIN, nulls_meet: bool = False) -> DataFrame:
     """Inner join of rows with one row per key, for keys that may hold a large part of the rows.
 
-    Every key is split by a hash of ``salt_by``; the lookup row is copied to exactly the (key,
+    A lookup side of up to ``BROADCAST_BYTES``, counted, is broadcast, and the rows stay where they
+    are. Beyond, every key is split by a hash of ``salt_by``; the lookup row is copied to exactly the (key,
     salt) pairs that occur, so the lookup side never outgrows the rows. A table of ``n_rows``
     within one share is joined as it is. Null keys are dropped as in any equi-join, or find the
     lookup's null key where ``nulls_meet``.
     """
     if not nulls_meet:
         per_key = per_key.dropna(subset=keys)
-    salts = min(MAX_BINS, -(-n_rows // max(1, rows_per_salt)))
+    salts = -(-n_rows // max(1, rows_per_salt))
     if salts <= 1:
         return same_keys(rows, per_key, keys)
+    per_key = checkpointed(per_key)  # written once: it is measured, and then joined
+    if counted_bytes(per_key) <= BROADCAST_BYTES:
+        return same_keys(rows, F.broadcast(per_key), keys)
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)))
     spread = same_keys(salted.select(*keys, "__salt").distinct(), per_key, keys)
     return same_keys(salted, spread, [*keys, "__salt"]).drop("__salt")

@@ -81,7 +81,9 @@ def test_median_and_mad(skewed):
          b.select("key", F.round("median", 9), F.round("mad", 9)))
 
 
-def test_salted_lookup(skewed):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_salted_lookup(skewed, monkeypatch, limit):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
     per = skewed.groupBy("key").agg(F.max("id").alias("top"))
     same(joins.salted_lookup(skewed, per, ["key"], ["id"], 3000, 100),
          skewed.join(per, "key"))
