@@ -13,7 +13,7 @@ from pollspark.functions import hashing
 from pollspark.functions.dates import iso
 from pollspark.session import shared_dir
 from pollspark.sources.snapshots import SnapshotTable
-from pollspark.streaming import ingest, periods
+from pollspark.streaming import ingest, periods, routed
 
 
 def _workdir(spark: SparkSession) -> str:
@@ -124,3 +124,24 @@ def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderpriority")
     h = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
     return hashing.fingerprint(o, h).withColumn("hash_sum", F.col("hash_sum").cast("string"))
+
+
+@query("""WITH e AS (SELECT *, event_id % 3 AS batch, CASE WHEN event_id % 101 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) || '-' || CAST(CAST(floor(value) AS INTEGER) AS VARCHAR) END AS key FROM events),
+f AS (SELECT *, CASE WHEN key IS NULL THEN 'no key' WHEN event_type IS NULL THEN 'no source' WHEN ts IS NULL THEN 'no time' WHEN value > 400 THEN 'value out of range' END AS fault FROM e),
+m AS (SELECT event_type, batch, max(ts) AS top FROM f WHERE fault IS NULL GROUP BY 1, 2),
+j AS (SELECT f.*, (SELECT max(top) FROM m WHERE m.event_type = f.event_type AND m.batch < f.batch) AS seen FROM f),
+r AS (SELECT *, CASE WHEN fault IS NOT NULL THEN 'broken' WHEN ts < seen - INTERVAL 12 DAY THEN 'late' END AS side FROM j),
+n AS (SELECT event_id, coalesce(side, CASE WHEN row_number() OVER (PARTITION BY side IS NULL, key ORDER BY batch, ts, event_id) = 1 THEN 'new' ELSE 'repeated' END) AS route, fault FROM r)
+SELECT event_id, route, fault FROM n""")
+def stream_routes(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in three arrivals; new, repeated, late and broken rows all come out of one stream."""
+    ts = F.col("ts").cast("timestamp")
+    key = F.when(F.col("event_id") % 101 != 0, F.concat_ws("-", F.col("user_id").cast("string"), F.col("value").cast("int").cast("string")))
+    events = table(spark, sf, "events").select("event_id", "event_type", ts.alias("ts"), "value", key.alias("key"))
+    out = _workdir(spark)
+    fault = F.when(F.col("value") > 400, "value out of range")
+    for n in range(3):
+        events.where(F.col("event_id") % 3 == n).write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{out}/in")
+        routed.run(stream, out, "key", "event_type", "ts", ["ts", "event_id"], "12 DAYS", fault)
+    return routed.read(spark, out, events.schema).select("event_id", "route", "fault")

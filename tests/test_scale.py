@@ -9,7 +9,7 @@ from pollspark.operators import ordered, quantiles, rows
 
 QUERIES = entry_module.queries()
 # These write and read when called; what they return is a plain scan.
-EAGER = {"stream_dedup", "stream_periods", "document_rules", "source_files"} | {
+EAGER = {"stream_dedup", "stream_periods", "stream_routes", "document_rules", "source_files"} | {
     n for n in QUERIES if n.startswith(("job_", "snapshot_"))}
 
 
