@@ -8,7 +8,7 @@ cell (14-day period, part type).
 from __future__ import annotations
 
 from pollspark.catalogue import (  # noqa: F401  (import registers the queries)
-    checks, drawsets, jobs, pages, polls, published, series, streams, tables,
+    checks, drawsets, files, jobs, pages, polls, published, series, streams, tables,
 )
 from pollspark.catalogue.base import REGISTRY
 
