@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pollspark.catalogue.base import query, table
-from pollspark.functions.text import REFERENCES
 from pollspark.sources import pages as P
 
-_NAV = "regexp_extract(html, '(?is)<nav[^>]*>(.*?)</nav>', 1)"
+_NAV = "array_to_string(regexp_extract_all(html, '(?is)<nav[^>]*>(.*?)</nav>', 1), ' ')"
 _ANCHOR = P.ANCHOR.replace("'", "''")
 
 
+# The references of these pages, ampersands last.
+REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+
+
 def _sql_unescaped(sql: str) -> str:
     for name, character in REFERENCES.items():
         sql = f"replace({sql}, '{name}', '{character.replace("'", "''")}')"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,15 +85,31 @@ def safe_name(name: Column) -> Column:
     return F.replace(name, F.lit("/"), F.lit("_"))
 
 
-# Character references of HTML text; the ampersand comes last.
-REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&amp;": "&"}
+_REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+_NAMES = "map(" + ", ".join(f"'{name}', {code}" for name, code in {**name2codepoint, "apos": 39}.items()) + ")"
+
+
+def _character(reference: Column) -> Column:
+    """``#252``, ``#xFC`` or ``uuml`` as its character; null where there is none."""
+    named = F.try_element_at(F.expr(_NAMES), reference)
+    code = F.when(reference.rlike("^#[xX]"), F.conv(F.substring(reference, 3, 6), 16, 10).cast("int")) \
+        .when(reference.startswith("#"), F.substring(reference, 2, 7).cast("int")).otherwise(named)
+    valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
 
 def unescaped(html: Column) -> Column:
-    """The frequent character references of HTML text as characters."""
-    for name, character in REFERENCES.items():
-        html = F.replace(html, F.lit(name), F.lit(character))
-    return html
+    """The character references of HTML text as characters: numbers, and the names of HTML 4 with ``apos``.
+
+    Each distinct reference of a text is replaced once, ampersands last, so no text is decoded twice. Others stay.
+    """
+    found = F.array_distinct(F.regexp_extract_all(html, F.lit(_REFERENCE), F.lit(1)))
+    ampersand = lambda r: F.coalesce(_character(r) == "&", F.lit(False))
+    order = F.concat(F.filter(found, lambda r: ~ampersand(r)), F.filter(found, ampersand))
+    decoded = F.aggregate(order, html, lambda text, r: F.coalesce(F.replace(text, F.concat(F.lit("&"), r, F.lit(";")), _character(r)), text))
+    return F.when(html.contains("&"), decoded).otherwise(html)
 
 
 def absolute_url(base: Column, href: Column) -> Column:

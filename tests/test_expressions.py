@@ -236,3 +236,11 @@ def test_absorbed_party(spark):
     r = spark.range(1).select(N.absorbed_correlation(*c).alias("r"), N.absorbed_sigma(*c).alias("s")).first()
     assert r.r == pytest.approx((0.2 * 0.3 + 0.6 * 0.1) / 0.4)
     assert r.s == pytest.approx(math.sqrt((0.09 * 0.04 + 0.01 * 0.36) / 0.16))
+
+
+def test_character_references(spark):
+    cases = {"M&uuml;ller &amp; S&#246;hne": "Müller & Söhne", "&#xFC;&#x1F600;": "ü😀", "&amp;lt; &lt;": "&lt; <", "&#38;gt; &gt;": "&gt; >", "&unknown; & x": "&unknown; & x",
+             "&euro;&nbsp;&apos;&Auml;": "€\u00a0'Ä", "": "", "&#0;&#55296;&#9999999;": "&#0;&#55296;&#9999999;"}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "h string")
+    got = {r.h: r.t for r in df.select("h", X.unescaped(F.col("h")).alias("t")).collect()}
+    assert got == {**cases, None: None}
