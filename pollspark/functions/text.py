@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -88,12 +89,12 @@ def safe_name(name: Column) -> Column:
 _REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
-_NAMES = "map(" + ", ".join(f"'{name}', {code}" for name, code in {**name2codepoint, "apos": 39}.items()) + ")"
+_NAMES = json.dumps({**name2codepoint, "apos": 39})  # one constant, which the optimizer turns into a map
 
 
 def _character(reference: Column) -> Column:
     """``#252``, ``#xFC`` or ``uuml`` as its character; null where there is none."""
-    named = F.try_element_at(F.expr(_NAMES), reference)
+    named = F.try_element_at(F.from_json(F.lit(_NAMES), "map<string, int>"), reference)
     code = F.when(reference.rlike("^#[xX]"), F.conv(F.substring(reference, 3, 6), 16, 10).cast("int")) \
         .when(reference.startswith("#"), F.substring(reference, 2, 7).cast("int")).otherwise(named)
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
