@@ -20,21 +20,29 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 from tokenizers import Tokenizer
 
 from pollspark.llm.common import slices, stored
-from pollspark.llm.pretokens import WHITE_SPACE, ChunkEncoder
+from pollspark.llm.pretokens import CHUNK
 
 MAGIC = b"WVM1"
 BLOCK = 512
 SHARD_TOKENS = 2_000_000
 
+# Fixed values of byte-level tokenizer files: the pattern of words, and the character that stands for each byte.
+BYTE_LEVEL_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLED = {b: chr(b) for b in PRINTED} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(PRINTED)))}
+
+
 class WaveletMatrix:
     """Bit-planes of a sequence of ids with rank and select."""
 
@@ -46,15 +54,15 @@ class WaveletMatrix:
         ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         zeros, planes, ones = [], [], []
         for b in range(bits - 1, -1, -1):
-            bit = (ids >> b) & 1 != 0
+            bit = ids & ids.dtype.type(1 << b) != 0
             packed = np.packbits(bit, bitorder="little")
             packed = np.append(packed, np.zeros(-len(packed) % (BLOCK // 8), np.uint8))
             count = np.bitwise_count(packed.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32)
             planes.append(packed)
             ones.append((np.cumsum(count, dtype=np.uint32) - count).astype(np.uint32))
-            low = ids[~bit]
+            low = np.flatnonzero(~bit)  # positions are faster than two selections by mask
             zeros.append(len(low))
-            ids = np.concatenate([low, ids[bit]])
+            ids = np.concatenate([ids.take(low), ids.take(np.flatnonzero(bit))])
         return cls(bits, lengths.astype(np.uint32), len(ids), zeros, planes, ones)
 
     def to_bytes(self) -> bytes:
@@ -137,56 +145,62 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             whole = np.empty_like(ids)
-            whole[~bit] = ids[:self.zeros[level]]
-            whole[bit] = ids[self.zeros[level]:] | ids.dtype.type(1 << (self.bits - 1 - level))
+            whole[np.flatnonzero(~bit)] = ids[:self.zeros[level]]
+            whole[np.flatnonzero(bit)] = ids[self.zeros[level]:] | ids.dtype.type(1 << (self.bits - 1 - level))
             ids = whole
         return ids
 
 
+class ByteLevelChunks(dict):
+    """Chunk of text -> its ids, little-endian; a chunk that is not known yet is cut into words and encoded.
+
+    The merges are the library's, word by word. Words of ASCII letters behind a blank are cut as they stand, other
+    chunks of Latin text by ``BYTE_LEVEL_WORDS``, all others by the library, whose Unicode tables decide.
+    """
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__()
+        self.tokenize, self.split = tokenizer.model.tokenize, tokenizer.pre_tokenizer.pre_tokenize_str
+        self.words: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk[0] == " " and chunk.isascii() and chunk[1:].isalpha():
+            out = self._word(chunk)
+        elif max(chunk) < "\u0250":
+            out = b"".join([self.words.get(w) or self._word(w) for w in BYTE_LEVEL_WORDS.findall(chunk)])
+        else:
+            out = b"".join([self._spelled(w) for w, _ in self.split(chunk)])
+        self[chunk] = out
+        return out
+
+    def _word(self, word: str) -> bytes:
+        out = self.words[word] = self._spelled(word.encode().decode("latin1").translate(SPELLED))
+        return out
+
+    def _spelled(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(word)]).tobytes()
+
+
 class Encoder:
-    """Texts to little-endian 32-bit ids by the tokenizers library.
+    """Texts to ids with the tokenizers library; what the library would give for the whole text, without special tokens.
 
-    With a byte-level file, distinct chunks are encoded together as one text, since cutting and joining at
-    chunks changes no match; the ids of a chunk are those that spell its bytes.
+    Files of the byte-level form without normaliser or prefix space encode white-space-led chunks independently, and a
+    chunk that recurs is looked up. ``limit`` bounds the memory of chunks; at the limit it starts anew.
     """
 
-    def __init__(self, spec: str):
-        self.tokenizer, parts = Tokenizer.from_str(spec), json.loads(spec)
-        vocabulary = self.tokenizer.get_vocab()
-        self.bits = max(1, max(vocabulary.values()).bit_length())
-        self.spelled = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.spelled[i] = len(token)  # byte-level files write each byte as one character
+    def __init__(self, spec: str, limit: int = 1_000_000):
+        self.tokenizer, parts, self.limit = Tokenizer.from_str(spec), json.loads(spec), limit
+        self.bits = max(1, max(self.tokenizer.get_vocab().values()).bit_length())
         self.special = [t["content"] for t in parts.get("added_tokens") or []]
         pre = parts.get("pre_tokenizer") or {}
-        # Only byte-level files without normaliser and prefix space encode the chunks of a text independently.
         self.whole = bool(parts.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True))
-        self.chunked = ChunkEncoder(self._encode_chunks, limit=1_000_000)
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        # Chunks that begin with a blank and end without one keep their borders in a row.
-        joined = [i for i, c in enumerate(chunks) if c[0] in WHITE_SPACE and c[-1] not in WHITE_SPACE]
-        out = [b""] * len(chunks)
-        alone = sorted(set(range(len(chunks))).difference(joined))
-        for i, ids in zip(alone, self._ids([chunks[i] for i in alone])):
-            out[i] = ids.tobytes()
-        for first in range(0, len(joined), 4096):
-            part = joined[first:first + 4096]
-            ids = self._ids(["".join([chunks[i] for i in part])])[0]
-            ends = np.cumsum([len(chunks[i].encode()) for i in part])
-            cuts = 4 * (np.searchsorted(np.cumsum(self.spelled[ids]), ends) + 1)
-            data = ids.tobytes()
-            for i, s, e in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist()):
-                out[i] = data[s:e]
-        return out
+        self.known = ByteLevelChunks(self.tokenizer) if not self.whole else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        alone = [self.whole or any(s in t for s in self.special) for t in texts]
-        found = iter(self.chunked.encode([t for t, a in zip(texts, alone) if not a]))
-        return [self._ids([t])[0].tobytes() if a else next(found) for t, a in zip(texts, alone)]
+        if self.known is not None and len(self.known) + len(self.known.words) > self.limit:
+            self.known = ByteLevelChunks(self.tokenizer)
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                if self.whole or any(s in t for s in self.special) else b"".join(map(self.known.__getitem__, CHUNK.findall(t))) for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -62,3 +62,14 @@ def test_wavelet_matrix_access_count_and_find():
             places = np.flatnonzero(x == token)
             assert m.count(token) == len(places)
             assert [m.find(token, k) for k in range(min(3, len(places)))] == places[:3].tolist()
+
+
+def test_encoder_equals_the_library_on_every_kind_of_chunk():
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        encoder = wavelet.Encoder(file.read(), limit=5)
+    tokens = [t for t in (encoder.special or ["<none>"])][:2]
+    texts = ["it's HE'LL we've'd 'tis", "  two   blanks \n\n lines\t", " é1a2—b…", "Ελληνικά Русский 中文字 العربية ไทย", " a  b c\x1cd", "é \U0001f600‍!",
+             "½ ² Ⅷ ª º 1234567", "", " ", "x" * 5_000, *tokens, *(f"before {t}after {t}" for t in tokens)]
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
