@@ -130,3 +130,16 @@ def test_line_dedup(spark):
     found = line_dedup.dedup_lines(odd_documents(spark, rows)).collect()
     assert Counter((r.doc_id, tuple(r.removed)) for r in found) == Counter((i, tuple(gone.get(i, ()))) for i, *_ in rows)
     assert line_dedup.dedup_lines(empty_documents(spark)).count() == 0
+
+
+def test_lines_go_on_to_later_partners(spark):
+    """A line whose earliest candidates are not similar is compared with the others; null ids stand first."""
+    rng = np.random.default_rng(5)
+    lines = [" ".join(f"w{k}" for k in rng.choice(14, rng.integers(6, 12), replace=False)) for _ in range(160)]
+    texts = ["\n".join(lines[i:i + 4]) for i in range(0, 160, 4)]
+    rows = [(None if i == 0 else i, t) for i, t in enumerate(texts)]
+    sets = [set(x.split()) for x in lines]
+    gone = [any(len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in sets[:k]) for k, a in enumerate(sets)]
+    want = {rows[i][0]: [p for p in range(4) if gone[4 * i + p]] for i in range(40)}
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: list(r.removed) for r in found} == want and 20 < sum(gone) < 150
