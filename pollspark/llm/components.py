@@ -3,6 +3,9 @@
 Every step is a minimum per node and a join, so a node with a third of all edges is combined before its
 shuffle and its join partition can be split. Each round is written to the shared folder; rounds end when
 the edges no longer change, without a limit on their number.
+
+Results for unusual input: an edge with a null end, or from a node to itself, links nothing; repeated edges and edges
+in either direction count once; an empty table gives an empty result.
 """
 
 from __future__ import annotations

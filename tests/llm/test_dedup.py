@@ -143,3 +143,9 @@ def test_lines_go_on_to_later_partners(spark):
     want = {rows[i][0]: [p for p in range(4) if gone[4 * i + p]] for i in range(40)}
     found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id: list(r.removed) for r in found} == want and 20 < sum(gone) < 150
+
+
+def test_components_of_unusual_edges(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (2, 3), (4, 4), (None, 3), (5, None), (7, 6)], "a long, b long")
+    assert sorted(map(tuple, components.components(edges).collect())) == [(2, 1), (3, 1), (7, 6)]
+    assert components.components(edges.limit(0)).count() == 0
