@@ -2,6 +2,8 @@
 
 import random
 
+from pollspark.catalogue import jobs
+from pollspark.catalogue import standin as S
 from pollspark.plans import update
 from pollspark.sources import pages
 
@@ -30,3 +32,12 @@ def test_plain_pages_give_the_events_of_the_parser():
         slow.feed(html)
         slow.close()
         assert (fast.header, fast.rows) == (slow.header, slow.rows), html
+
+
+def test_valid_polls_are_made_once_for_the_coverage_report(spark, sf, monkeypatch):
+    calls, real = [], S.valid_polls
+    monkeypatch.setattr(S, "valid_polls", lambda *a: (calls.append(a), real(*a))[1])
+    read, build = [], jobs.reference.build_pollsters
+    monkeypatch.setattr(jobs.reference, "build_pollsters", lambda polls, *a: (read.extend(polls.inputFiles()), build(polls, *a))[1])
+    assert jobs.job_coverage(spark, sf).count()
+    assert len(calls) == 1 and read and all("/covered-" in f for f in read)
