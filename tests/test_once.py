@@ -2,10 +2,12 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from pollspark.catalogue import jobs
 from pollspark.catalogue import standin as S
 from pollspark.plans import update
-from pollspark.sources import pages
+from pollspark.sources import files, pages
 
 
 def test_the_ingest_reads_parsed_rows(spark, tmp_path, monkeypatch):
@@ -41,3 +43,18 @@ def test_valid_polls_are_made_once_for_the_coverage_report(spark, sf, monkeypatc
     monkeypatch.setattr(jobs.reference, "build_pollsters", lambda polls, *a: (read.extend(polls.inputFiles()), build(polls, *a))[1])
     assert jobs.job_coverage(spark, sf).count()
     assert len(calls) == 1 and read and all("/covered-" in f for f in read)
+
+
+def test_raw_polls_are_made_once_for_the_source_files(spark, sf, monkeypatch):
+    read, write = [], files.write_source_files
+    monkeypatch.setattr(files, "write_source_files", lambda df, *a: (read.extend(df.inputFiles()), write(df, *a)))
+    assert jobs.source_files(spark, sf).count()
+    assert read and all("/raw-" in f for f in read)
+
+
+def test_source_and_file_names_of_a_tree(spark, tmp_path):
+    df = spark.createDataFrame([("u", 1.0)], "uuid string, vote_share double")
+    for source in ("A B", "x.csv", "ü"):
+        files.write_csv(df.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in files.schemas.RAW_LONG.fields]), f"{tmp_path}/t/{source}/current.csv")
+    found = files.scan_tree(spark, f"{tmp_path}/t").select("pollster", "source_file").collect()
+    assert sorted(map(tuple, found)) == [("A B", "current.csv"), ("x.csv", "current.csv"), ("ü", "current.csv")]
