@@ -123,7 +123,8 @@ def with_bins(rows: DataFrame, sampled: DataFrame, cols: list[str], n_rows: int,
 
     Up to ``LITERALS`` bins are found among literal cut points. Beyond, these cut the order coarsely,
     and the cut points inside each coarse bin come from a sample that stays on the executors: a
-    sorted list per coarse bin, written once and joined on the bin. Any number of bins is possible.
+    sorted list per coarse bin, written once, parted into blocks whose heads are joined on the bin and whose
+    cuts are joined on (bin, block), so a row meets twice the root of a list. Any number of bins is possible.
     """
     bins = math.ceil(n_rows / max(1, rows_per_bin))
     two = bins > LITERALS
@@ -142,11 +143,18 @@ def with_bins(rows: DataFrame, sampled: DataFrame, cols: list[str], n_rows: int,
     at = F.row_number().over(w.orderBy(*[F.asc_nulls_first(c) for c in cols]))
     step = keys.withColumns({"__at": at, "__of": F.count(F.lit(1)).over(w)})
     first = F.floor(F.col("__at") * inside / F.col("__of")) > F.floor((F.col("__at") - 1) * inside / F.col("__of"))
-    cuts = checkpointed(step.where(first).groupBy(_BIN).agg(
+    width = math.isqrt(inside) + 1
+    block = F.floor((F.col("__at") * inside / F.col("__of")) / width).cast("int")
+    cuts = checkpointed(step.where(first).groupBy(_BIN, block.alias("__block")).agg(
         F.sort_array(F.collect_list(F.struct(*cols))).alias("__cuts")))
+    head = F.struct(F.get("__cuts", F.lit(0)).alias("head"), "__block")
+    heads = cuts.groupBy(_BIN).agg(F.sort_array(F.collect_list(head)).alias("__heads"))
     here = F.struct(*cols)
-    sub = F.size(F.filter("__cuts", lambda c: c <= here))
-    return placed.join(cuts, _BIN, "left").withColumn(_SUB, F.coalesce(sub, F.lit(0))).drop("__cuts"), True
+    # At most ``LITERALS`` lists of the root of a coarse bin's cuts.
+    found = placed.join(F.broadcast(heads), _BIN, "left").withColumn(
+        "__block", F.try_element_at(F.filter("__heads", lambda h: h["head"] <= here), F.lit(-1))["__block"]).drop("__heads")
+    sub = F.col("__block") * (width + 1) + F.size(F.filter("__cuts", lambda c: c <= here))
+    return found.join(cuts, [_BIN, "__block"], "left").withColumn(_SUB, F.coalesce(sub, F.lit(0))).drop("__cuts", "__block"), True
 
 
 def hot_keys(df: DataFrame, keys: list[str], order: list[str], n_rows: int,

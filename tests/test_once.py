@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pollspark.catalogue import jobs
 from pollspark.catalogue import standin as S
+from pollspark.operators import ordered
 from pollspark.plans import update
 from pollspark.sources import files, pages
 
@@ -36,6 +37,15 @@ def test_plain_pages_give_the_events_of_the_parser():
         assert (fast.header, fast.rows) == (slow.header, slow.rows), html
 
 
+def test_the_bins_inside_a_bin_lie_in_short_lists(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "LITERALS", 4)
+    df = spark.range(6000).select((F.col("id") * 7919 % 6000).alias("t"), "id").cache()
+    placed, two = ordered.with_bins(df, df, ["t", "id"], 6000, 10)
+    lists = [len(r) for r in placed._jdf.queryExecution().optimizedPlan().toString().split("__block")]
+    rows = placed.orderBy("t").select("__bin", "__sub").collect()
+    assert two and len(lists) > 1 and rows == sorted(rows) and len(set(rows)) > 300
+
+
 def test_valid_polls_are_made_once_for_the_coverage_report(spark, sf, monkeypatch):
     calls, real = [], S.valid_polls
     monkeypatch.setattr(S, "valid_polls", lambda *a: (calls.append(a), real(*a))[1])
