@@ -8,8 +8,9 @@ pairs with 5 or more are kept and their bits compared. Equal fingerprints are on
 cut into blocks that meet pairwise, each meeting in bounded memory, and a meeting reports one link per
 newly connected fingerprint instead of all its pairs. Components are then found on the links.
 
-``one_of_each`` is the form for cleaning a corpus: it asks for texts whose sets of five-word shingles have a Jaccard
-similarity of 0.8 or more, which fingerprints only estimate, and takes them from the exact join in ``near_join``.
+``one_of_each`` is the form for cleaning a corpus: the components of fingerprints are its first groups, each text
+checked exactly against the one that names its component (a Jaccard similarity of 0.8 or more of the sets of
+five-word shingles). The exact join in ``near_join`` follows on what these groups leave apart.
 
 Results for unusual input: a text without words, empty or null has fingerprint zero and is linked like any
 other; fewer words than a shingle make one shingle; repeated rows share a component; null ids never
@@ -174,7 +175,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = 3, seed: i
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of ``docs`` for each group of verified near-duplicates, with its columns; of equal texts the least id."""
-    gone = near_groups(docs, text_col=text_col, **options).select("key")
+    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    found = near_duplicates(texts, id_col="key").where("key <> component_id")
+    nominated = stored(found.select(F.col("key").alias("x"), F.col("component_id").alias("y")).distinct(), "simhash-pairs")
+    gone = near_groups(docs, text_col=text_col, nominated=nominated, **options).select("key")
     ids = docs.select(F.xxhash64(text_col).alias("key"), F.col(id_col).alias("id"))
     stay = ids.groupBy("key").agg(F.min("id").alias("id")).join(gone, "key", "left_anti")
     return rows_with(docs, stay, F.xxhash64(text_col), id_col).select("doc.*")

@@ -91,3 +91,15 @@ def test_planted_edits_just_above_the_limit(spark):
                 texts += [" ".join(own.get(w, w) for w in t) for t in (base, edited)]
     groups = check(spark, texts)
     assert len(texts) - len(set(groups)) > 85
+
+
+def test_components_of_fingerprints_are_compared_first(spark, monkeypatch):
+    rng = random.Random(5)
+    base = words_of(rng, 600)
+    texts = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(words_of(rng, 600))]
+    seen, whole = [], simhash.near_groups
+    monkeypatch.setattr(simhash, "near_groups", lambda docs, **o: (seen.append(o["nominated"].collect()), whole(docs, **o))[1])
+    check(spark, texts)
+    assert [len(s) for s in seen] == [1]
+    docs = spark.createDataFrame([(0, " ".join(["the same phrase again now"] * 300 + ["x"])), (1, " ".join(["the same phrase again now"] * 300 + words_of(rng, 30)))], "doc_id long, text string")
+    assert simhash.one_of_each(docs).count() == 2 and [len(s) for s in seen] == [1, 1]  # one fingerprint, different sets
