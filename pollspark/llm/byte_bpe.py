@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pollspark.llm.common import slices
+from pollspark.llm.common import slices, small_batches
 from pollspark.llm.pretokens import ByWords, ChunkEncoder
 
 WORDS_PER_QUERY = 20_000
@@ -217,11 +217,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger, encoder = _encoder(ranks.value, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):
             ids = encoder.encode(batch.column("text").to_pylist())
             columns = [batch.column("id"), pa.array(ids, pa.binary()), pa.array(merger.decode(ids), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInArrow(rows, f"id {kind}, ids binary, decoded binary").withColumnRenamed("id", id_col)
+    return small_batches(texts).mapInArrow(rows, f"id {kind}, ids binary, decoded binary").withColumnRenamed("id", id_col)

@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from pollspark.llm.common import slices
+from pollspark.llm.common import slices, small_batches
 
 ORDER = 4
 TRAIN_DOCS = 400  # per language
@@ -166,7 +166,7 @@ def count_grams(sample: DataFrame, order: int) -> DataFrame:
                     text_of = [w.tobytes().decode("utf-32-le", "surrogatepass") for w in windows]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n)), pa.array(text_of), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
-    return sample.select("lang", "text").mapInArrow(rows, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return small_batches(sample.select("lang", "text")).mapInArrow(rows, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, learned: str = "true", *, order: int = ORDER, train_docs: int = TRAIN_DOCS,
@@ -201,12 +201,13 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = list(dict.fromkeys([id_col, *keep]))
     inner = [f"c{i}" for i in range(len(columns))]  # own names, so that no column of the table can clash
+    text = inner[columns.index(text_col)] if text_col in columns else "text"  # a text that is kept is sent once
     names = ["lang_pred", "score", "entropy", "rejected"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch in slices(batches, limit=1 << 20):
-            texts = [characters(t or "") for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, text, 1 << 18):
+            texts = [characters(t or "") for t in batch.column(text).to_pylist()]
             some = [i for i, t in enumerate(texts) if len(t)] if known else []
             pred, sure, entropy, bad = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.nan), np.ones(len(texts), bool)
             if some:
@@ -222,8 +223,9 @@ def score(docs: DataFrame, model: Model | None, *, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in inner] + found, inner + names)
 
     fields = [f"{i} {docs.schema[c].dataType.simpleString()}" for i, c in zip(inner, columns)]
-    chosen = docs.select(*[F.col(c).alias(i) for i, c in zip(inner, columns)], F.col(text_col).alias("text"))
-    found = chosen.mapInArrow(rows, ", ".join([*fields, "lang_pred string, score double, entropy double, rejected boolean"]))
+    sent = dict(zip(inner, columns)) | {text: text_col}
+    chosen = docs.select(*[F.col(c).alias(i) for i, c in sent.items()])
+    found = small_batches(chosen).mapInArrow(rows, ", ".join([*fields, "lang_pred string, score double, entropy double, rejected boolean"]))
     return found.toDF(*columns, *names)
 
 

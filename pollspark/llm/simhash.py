@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pollspark.llm.common import rows_with, slices, stored
+from pollspark.llm.common import rows_with, slices, small_batches, stored
 from pollspark.llm.components import components
 from pollspark.llm.near_join import near_groups
 
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 3, seed: int = 42, id_col: s
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, f"id {kind}, fp long")
+    return small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(rows, f"id {kind}, fp long")
 
 
 def linked(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
