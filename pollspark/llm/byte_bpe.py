@@ -7,7 +7,8 @@ the same rank while doing so cannot matter: it goes left to right and stops at t
 new neighbours could merge at a lower rank, because that merge would come first. So a word needs about as
 many steps as it uses different ranks, not as many as it has tokens.
 
-Decoding: token rows join the vocabulary and an ordered aggregation writes each document's bytes.
+Decoding: the bytes of all ids of a batch are gathered from the vocabulary in the order of the ids, as one Arrow
+array; a document's bytes are a stretch of it.
 
 Results for unusual input: a null text counts as empty; an empty text has no ids and the digest of no bytes;
 repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
@@ -29,7 +30,7 @@ from pollspark.llm.pretokens import ByWords, ChunkEncoder
 
 WORDS_PER_QUERY = 20_000
 BYTES_PER_QUERY = 400_000
-TOKENS_PER_QUERY = 500_000
+BYTES_PER_SLICE = 2 << 20  # of texts encoded together: a query's recursion costs the same for few new words as for many
 
 SHORT = 64  # bytes; longer words take the query with several contractions a step
 
@@ -98,12 +99,6 @@ WITH RECURSIVE step(word, pos, tok, more) AS (
 SELECT word, tok FROM step WHERE NOT more ORDER BY word, pos
 """
 
-DECODE = """
-SELECT d.doc, string_agg(v.chars, '' ORDER BY d.pos) AS chars
-FROM ids_of d JOIN vocabulary v ON d.tok = v.tok GROUP BY d.doc
-"""
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
@@ -122,8 +117,9 @@ class Merger:
                     a.append(left), b.append(right), merged.append(rank)
         int32 = lambda x: pa.array(x, pa.int32())
         self._table("merges", a=int32(a), b=int32(b), merged=int32(merged))
-        # One character per byte, so that an aggregate of text holds any bytes.
-        self._table("vocabulary", tok=int32(list(ranks.values())), chars=pa.array([t.decode("latin-1") for t in ranks]))
+        self.vocabulary = pa.array(list(ranks), pa.binary())
+        self.entry = np.full(max(ranks.values()) + 1, -1, np.int32)  # of an id in the vocabulary
+        self.entry[list(ranks.values())] = np.arange(len(ranks))
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
     def _table(self, name: str, **columns: pa.Array) -> None:
@@ -174,25 +170,12 @@ class Merger:
         return [ids[s:e] for s, e in zip([0, *ends[:-1]], ends)]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """Bytes of each id sequence; several documents a query, up to a bounded number of tokens."""
-        out = [b""] * len(ids)
-        first, size = 0, 0
-        for i, x in enumerate(ids):
-            size += len(x) // 4
-            if size >= TOKENS_PER_QUERY or i + 1 == len(ids):
-                self._decode(ids, first, i + 1, out)
-                first, size = i + 1, 0
-        return out
-
-    def _decode(self, ids: list[bytes], first: int, end: int, out: list[bytes]) -> None:
-        lengths = np.array([len(x) // 4 for x in ids[first:end]], np.int64)
-        tok = np.frombuffer(b"".join(ids[first:end]), "<u4").astype(np.int32)
-        doc = np.repeat(np.arange(first, end, dtype=np.int32), lengths)
-        self.con.register("ids_of", pa.table({"doc": doc, "pos": np.arange(len(tok), dtype=np.int32), "tok": tok}))
-        found = self.con.sql(DECODE).to_arrow_table()
-        self.con.unregister("ids_of")
-        for d, chars in zip(found["doc"].to_pylist(), found["chars"].to_pylist()):
-            out[d] = chars.encode("latin-1")
+        """Bytes of each id sequence."""
+        found = self.vocabulary.take(pa.array(self.entry[np.frombuffer(b"".join(ids), "<u4")]))
+        whole = b"" if found.buffers()[2] is None else found.buffers()[2].to_pybytes()
+        starts = np.frombuffer(found.buffers()[1], np.int32)
+        ends = starts[np.cumsum([0, *(len(x) // 4 for x in ids)])].tolist()
+        return [whole[s:e] for s, e in zip(ends, ends[1:])]
 
 
 _ENCODERS: dict[tuple[str, str], tuple[Merger, ChunkEncoder]] = {}
@@ -217,7 +200,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger, encoder = _encoder(ranks.value, pattern)
-        for batch in slices(batches, limit=1 << 20):
+        for batch in slices(batches, limit=BYTES_PER_SLICE):
             ids = encoder.encode(batch.column("text").to_pylist())
             columns = [batch.column("id"), pa.array(ids, pa.binary()), pa.array(merger.decode(ids), pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "decoded"])

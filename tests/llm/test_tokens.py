@@ -31,6 +31,17 @@ def test_long_words_take_several_contractions_a_step():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(word)
 
 
+def test_decoding_gathers_bytes_without_a_query():
+    ranks = byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    texts = ["", "é" * 9 + "\0 \U0001f600", "", "two words\n", "x" * 5_000]
+    merger = byte_bpe.Merger(ranks)
+    ids = merger.encode_words(texts)
+    merger.con.close()
+    assert merger.decode(ids) == [t.encode() for t in texts]
+    assert b"".join(merger.decode([ids[1][:4], ids[1][4:]])) == texts[1].encode()  # cut inside a character
+    assert merger.decode([]) == [] and merger.decode([b"", b""]) == [b"", b""]
+
+
 def test_shards_hold_what_the_library_encodes(spark):
     docs = odd_documents(spark)
     shards = wavelet.write_shards(docs, P.path("byte_bpe_50k.json"), 2, shard_tokens=3_000)
