@@ -1,12 +1,14 @@
 import hashlib
 import re
 from collections import Counter
+from glob import glob
 
 import numpy as np
 import xxhash
 from odd import empty_documents, odd_documents, odd_rows
 
 from pollspark.llm import components, exact_dedup, line_dedup, simhash, substring
+from pollspark.session import shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -149,3 +151,15 @@ def test_components_of_unusual_edges(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (2, 3), (4, 4), (None, 3), (5, None), (7, 6)], "a long, b long")
     assert sorted(map(tuple, components.components(edges).collect())) == [(2, 1), (3, 1), (7, 6)]
     assert components.components(edges.limit(0)).count() == 0
+
+
+def test_only_sets_in_pairs_are_joined_again(spark):
+    """Of 203 different lines two are in a pair; the later one, which also repeats, goes wherever it stands."""
+    near = [" ".join(f"n{k}" for k in range(10)), " ".join(f"n{k}" for k in range(11))]
+    lone = [" ".join(f"x{i}_{k}" for k in range(6)) for i in range(201)]
+    rows = [(1, near[0]), (2, "\n".join([near[1], lone[0], near[1]])), (3, "\n".join([lone[0], near[1]])), (4, "\n".join(lone[1:]))]
+    before = set(glob(f"{shared_dir(spark)}/line-stands-*"))
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.removed for r in found} == {1: [], 2: [0, 2], 3: [0, 1], 4: []}
+    new = set(glob(f"{shared_dir(spark)}/line-stands-*")) - before
+    assert [spark.read.parquet(x).count() for x in new] == [2]
