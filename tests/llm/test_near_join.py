@@ -103,3 +103,23 @@ def test_components_of_fingerprints_are_compared_first(spark, monkeypatch):
     assert [len(s) for s in seen] == [1]
     docs = spark.createDataFrame([(0, " ".join(["the same phrase again now"] * 300 + ["x"])), (1, " ".join(["the same phrase again now"] * 300 + words_of(rng, 30)))], "doc_id long, text string")
     assert simhash.one_of_each(docs).count() == 2 and [len(s) for s in seen] == [1, 1]  # one fingerprint, different sets
+
+
+def test_sets_of_pairs_are_shuffled_once_and_not_written(spark, monkeypatch):
+    rng = random.Random(6)
+    bases = [words_of(rng, 60) for _ in range(30)]
+    texts = spark.createDataFrame([(2 * i + k, " ".join([*b, f"tail{k}"] if k or i % 3 else words_of(rng, 60))) for i, b in enumerate(bases) for k in (0, 1)], "key long, text string")
+    texts = texts.union(texts)  # each text twice
+    pairs = spark.createDataFrame([(2 * i + 1, 2 * i) for i in range(30)], "x long, y long")
+    written, write = [], near_join.stored
+    monkeypatch.setattr(near_join, "stored", lambda df, name: (written.append(name), write(df, name))[1])
+    monkeypatch.setattr(near_join, "BROADCAST_KEYS", 0)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = near_join.verified(pairs, texts, 5, 0.8)
+        assert sorted(map(tuple, found.collect())) == [(2 * i + 1, 2 * i) for i in range(30) if i % 3]
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert written == ["near-wanted"] and plan.count("ReusedExchange") == 1
