@@ -123,3 +123,15 @@ def test_sets_of_pairs_are_shuffled_once_and_not_written(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert written == ["near-wanted"] and plan.count("ReusedExchange") == 1
+
+
+def test_long_texts_below_the_limit_are_not_compared_whole(spark, monkeypatch):
+    rng = random.Random(7)
+    shared = words_of(rng, 2600)
+    texts = [" ".join(shared + words_of(rng, 1400)) for _ in range(8)]  # a similarity of about 0.48
+    texts += [" ".join([*t.split()[:-100], *words_of(rng, 100)]) for t in texts[:3]]  # and three of 0.95
+    texts += ["a short text with a few words", "a short text with a few other words"]
+    seen, whole = [], near_join.verified
+    monkeypatch.setattr(near_join, "verified", lambda pairs, *a: (seen.append(pairs.count()), whole(pairs, *a))[1])
+    groups = check(spark, texts)
+    assert len(set(groups)) == 10 and sum(seen) <= 6
