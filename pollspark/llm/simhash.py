@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pollspark.llm.common import rows_with, slices, small_batches, stored
 from pollspark.llm.components import components
-from pollspark.llm.near_join import near_groups
+from pollspark.llm.near_join import KEY, keyed, near_groups
 
 BLOCK = 2048
 LOW = np.uint64(0x0101010101010101)
@@ -175,10 +175,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = 3, seed: i
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of ``docs`` for each group of verified near-duplicates, with its columns; of equal texts the least id."""
-    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    named = keyed(docs, text_col)
+    texts = named.select(F.col(KEY).alias("key"), F.col(text_col).alias("text"))
     found = near_duplicates(texts, id_col="key").where("key <> component_id")
     nominated = stored(found.select(F.col("key").alias("x"), F.col("component_id").alias("y")).distinct(), "simhash-pairs")
-    gone = near_groups(docs, text_col=text_col, nominated=nominated, **options).select("key")
-    ids = docs.select(F.xxhash64(text_col).alias("key"), F.col(id_col).alias("id"))
+    gone = near_groups(named, text_col=text_col, nominated=nominated, **options).select("key")
+    ids = named.select(F.col(KEY).alias("key"), F.col(id_col).alias("id"))
     stay = ids.groupBy("key").agg(F.min("id").alias("id")).join(gone, "key", "left_anti")
-    return rows_with(docs, stay, F.xxhash64(text_col), id_col).select("doc.*")
+    return rows_with(named, stay, F.col(KEY), id_col).select("doc.*").drop(KEY)

@@ -135,3 +135,23 @@ def test_long_texts_below_the_limit_are_not_compared_whole(spark, monkeypatch):
     monkeypatch.setattr(near_join, "verified", lambda pairs, *a: (seen.append(pairs.count()), whole(pairs, *a))[1])
     groups = check(spark, texts)
     assert len(set(groups)) == 10 and sum(seen) <= 6
+
+
+CLASH = "firsttxtaboutone", "8evoeki07ccW0w1M"  # one 64-bit hash
+
+
+def test_different_texts_of_one_hash_are_both_kept(spark):
+    docs = spark.createDataFrame([(0, CLASH[0]), (1, CLASH[1]), (2, CLASH[1]), (3, None), (4, "another text"), (5, "another text")], "doc_id long, text string")
+    assert docs.where("doc_id < 2").selectExpr("count(DISTINCT xxhash64(text)) AS n").first().n == 1
+    keys = {(r.text, r[near_join.KEY]) for r in near_join.keyed(docs).collect()}
+    assert len(keys) == len({k for _, k in keys}) == 4
+    assert sorted(r.doc_id for r in simhash.one_of_each(docs).collect()) == [0, 1, 3, 4]
+
+
+def test_keys_are_told_apart_until_no_two_are_equal(spark, monkeypatch):
+    """With hashes of two values and few turns, many texts meet again after they got another hash."""
+    whole, texts = near_join.F.xxhash64, [f"text {i}" for i in range(12)]
+    monkeypatch.setattr(near_join.F, "xxhash64", lambda *a: near_join.F.pmod(whole(*a), near_join.F.lit(40)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts)], "doc_id long, text string")
+    keys = {(r.text, r[near_join.KEY]) for r in near_join.keyed(docs).collect()}
+    assert len(keys) == len({k for _, k in keys}) == len(texts)
